@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forgeline.llm import leximin, survivors
+from forgeline.llm import leximin, neighbours, survivors, truncation
 from forgeline.session import read
 
 SCORES = ["lexical_score", "fuzzy_score"]
@@ -20,4 +20,21 @@ def p2_ranking(spark, d):
     return leximin.leximin_ranking(read(spark, d, "material_candidates"), "query_id", "material_id", SCORES)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ranking": p2_ranking}
+def p3_found(spark, d):
+    return neighbours.mutual_neighbours(read(spark, d, "materials"), "id", "embedding")
+
+
+def p3_neighbours(spark, d):
+    """The lists of the query set: every material whose number is divisible by 20, against all."""
+    return neighbours.nearest_neighbours(read(spark, d, "materials"), "id", "embedding", probes=32, queries="int(substring(id, 2)) % 20 = 0")
+
+
+def p5_found(spark, d):
+    return truncation.cut_materials(read(spark, d, "materials"), read(spark, d, "material_uploads"))
+
+
+def p5_rates(spark, d):
+    return truncation.cut_rates(read(spark, d, "materials"), read(spark, d, "material_uploads"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_rates": p5_rates}
