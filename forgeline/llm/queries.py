@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forgeline.llm import leximin, neighbours, survivors, truncation
+from forgeline.llm import abuse, leakage, leximin, mixing, neighbours, survivors, truncation
 from forgeline.session import read
 
 SCORES = ["lexical_score", "fuzzy_score"]
@@ -37,4 +37,43 @@ def p5_rates(spark, d):
     return truncation.cut_rates(read(spark, d, "materials"), read(spark, d, "material_uploads"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_rates": p5_rates}
+def _leaks(spark, d):
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return _leaks(spark, d).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p8_leaks(spark, d):
+    return _leaks(spark, d)
+
+
+def p9_mix(spark, d):
+    return mixing.mixed(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    return mixing.mix_report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def _scored(spark, d):
+    return abuse.scored_documents(read(spark, d, "documents"), read(spark, d, "doc_labels"))
+
+
+def p10_found(spark, d):
+    return _scored(spark, d).where("abusive").select("doc_id")
+
+
+def p10_scores(spark, d):
+    return _scored(spark, d).select("doc_id", "score")
+
+
+def p10_rates(spark, d):
+    return abuse.abuse_rates(_scored(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p2_found, p2_ranking, p3_found, p3_neighbours, p5_found, p5_rates, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+}
