@@ -6,13 +6,14 @@ import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERIES_PER_FILE = 50
 
 
-def summary(matches: DataFrame) -> DataFrame:
-    """One row per match, fourteen columns."""
+def summary(matches: DataFrame, *extra: str) -> DataFrame:
+    """One row per match, fourteen columns, and the ``extra`` ones."""
     pct = lambda c: F.concat(F.col(c).cast("string"), F.lit("%"))
     return matches.select(
         F.col("query_text").alias("Query"), F.col("rank").alias("Rank"), pct("confidence").alias("Confidence"), F.col("corporate_no").alias("Corporate No"),
@@ -20,7 +21,7 @@ def summary(matches: DataFrame) -> DataFrame:
         F.col("short_description").alias("Short Description"), F.col("status").alias("Status"),
         F.when(F.col("blocked"), "Blocked for procurement").otherwise("Available").alias("Availability"),
         F.when(F.col("exact_match"), "Exact").otherwise("Similar").alias("Match type"), pct("parametric_score").alias("Parametric Score"),
-        pct("semantic_score").alias("Semantic Score"), F.array_join("mismatches", " | ").alias("Differences"),
+        pct("semantic_score").alias("Semantic Score"), F.array_join("mismatches", " | ").alias("Differences"), *extra,
     )
 
 
@@ -32,17 +33,9 @@ def details(matches: DataFrame) -> DataFrame:
 
 def write_parts(matches: DataFrame, path: str, fmt: str = "csv") -> None:
     """One folder per 50 queries, in the order of query_id."""
-    numbered = matches.select("query_id").distinct().orderBy("query_id")
-    from pyspark.sql import Window as W
-
-    # only the list of queries is numbered in one place, at most a few hundred a batch
-    part = numbered.withColumn("part", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERIES_PER_FILE))
-    flat = matches.join(part, "query_id")
-    cols = summary(matches).columns
-    out = flat.select("part", *[F.struct(*flat.columns).alias("m")]).select("part", "m.*")
-    w = summary(out.withColumn("query_text", F.concat(F.col("part").cast("string"), F.lit("\x1f"), F.col("query_text"))))
-    w = w.withColumn("part", F.split("Query", "\x1f")[0].cast("int")).withColumn("Query", F.split("Query", "\x1f")[1])
-    w.select("part", *cols).write.mode("errorifexists").partitionBy("part").option("header", True).format(fmt).save(path)
+    # only the list of queries, not their matches, is numbered in one place
+    numbered = matches.select("query_id").distinct().withColumn("part", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERIES_PER_FILE))
+    summary(matches.join(numbered, "query_id"), "part").write.mode("errorifexists").partitionBy("part").option("header", True).format(fmt).save(path)
 
 
 def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], path: str) -> None:
