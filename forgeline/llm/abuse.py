@@ -101,19 +101,16 @@ class Kernel:
 
     def project(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         """Sum of the rows of ``table`` over each text's features."""
-        wide = table.ndim == 2
-        out = np.zeros((len(texts), table.shape[1]) if wide else len(texts), np.float32)
         who, lens = self.owner(texts)
         starts = np.concatenate([[0], np.cumsum(lens + 2)[:-1]])
+        n = int((lens + 2).sum())
+        here = np.zeros((n, *table.shape[1:]), np.float32)  # per position, over all patterns
         for pos, feat, weight in self.features(texts):
-            w = who[: len(pos)] if len(who) >= len(pos) else np.concatenate([who, np.full(len(pos) - len(who), len(texts) - 1)])
-            if wide:
-                vals = table[feat] * np.float32(weight)
-                out += np.add.reduceat(vals, np.minimum(starts, len(vals) - 1), axis=0)
-            else:
-                out += np.bincount(w, weights=table[feat], minlength=len(texts)).astype(np.float32) * np.float32(weight)
-        scale = 1 / np.sqrt(np.maximum(lens, 8))
-        return out * (scale[:, None] if wide else scale).astype(np.float32)
+            m = min(len(pos), n)
+            here[:m] += table[feat[:m]] if weight == 1 else table[feat[:m]] * np.float32(weight)
+        out = np.add.reduceat(here, starts, axis=0)
+        scale = (1 / np.sqrt(np.maximum(lens, 8))).astype(np.float32)
+        return out * (scale[:, None] if table.ndim == 2 else scale)
 
     def table(self, texts: list[str]) -> np.ndarray:
         """Feature values of each text as a column."""
@@ -125,20 +122,23 @@ class Kernel:
         return t / np.sqrt(np.maximum(lens, 8)).astype(np.float32)
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 25) -> np.ndarray:
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, start: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
     """Linear support vector machine with squared hinge loss by Newton's method; the last coefficient is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], 1.0)
+    w = np.zeros(x.shape[1] + 1) if start is None else start.copy()
+    reg = np.full(len(w), 1.0)
     reg[-1] = 1e-3
     for _ in range(rounds):
-        gap = 1 - y * (x @ w)
-        a = gap > 0
-        xa, wa = x[a], c * weight[a]
-        grad = reg * w - 2 * xa.T @ (wa * y[a] * gap[a])
-        step = np.linalg.solve(np.diag(reg) + 2 * (xa * wa[:, None]).T @ xa, grad)
+        gap = 1 - y * (x @ w[:-1].astype(np.float32) + w[-1])
+        grad, curve = reg * w, np.diag(reg)
+        for i in range(0, len(x), 4096):
+            a = np.flatnonzero(gap[i : i + 4096] > 0) + i
+            xa = np.concatenate([x[a], np.ones((len(a), 1), np.float32)], 1)
+            wa = (c * weight[a]).astype(np.float32)
+            grad = grad - 2 * (xa.T @ (wa * (y[a] * gap[a]).astype(np.float32))).astype(np.float64)
+            curve = curve + 2 * ((xa * wa[:, None]).T @ xa).astype(np.float64)
+        step = np.linalg.solve(curve, grad)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3 * max(1.0, np.abs(w).max()):
             break
     return w
 
@@ -166,11 +166,12 @@ class Scorer:
         return np.array([max((value[p] for p in ps), default=-9.0) for ps in parts])
 
 
-def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: float = 1.0, rounds: int = 6, seed: int = 3, kernel: Kernel | None = None) -> Scorer:
-    """Train on documents whose label says whether any statement in them is abusive.
+def fit_machine(texts: list[str], labels: list[int], landmarks: int = 384, c: float = 1.0, rounds: int = 6, seed: int = 3, kernel: Kernel | None = None) -> Scorer:
+    """Train on documents whose label says whether any statement in them is abusive: 1, 0, or -1 for not judged.
 
-    Pieces are the instances. Pieces that stand in several documents labelled clean are clean, weighted by how many.
-    Of an abusive document the worst piece counts as abusive, with the others over the margin, which is decided
+    Pieces are the instances. Pieces that stand in several documents labelled clean, or in five that are not judged,
+    are clean, weighted by how many; other pieces of documents not judged are taken for clean until they look
+    abusive. Of an abusive document the worst piece counts as abusive, with the others over the margin, which is decided
     anew in each round by the machine of the round before; pieces of a single clean document that lie on the
     abusive side, and abusive documents without any suspicious piece, are taken for wrong judgements and left out.
     Nyström: kernel values against ``landmarks`` pieces, whitened by the inverse root of the landmarks' own kernel
@@ -180,17 +181,20 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: fl
     kernel, rng = kernel or Kernel(), np.random.default_rng(seed)
     bags = [list(dict.fromkeys(pieces(t))) for t in texts]
     count: dict[str, int] = {}
+    sure: dict[str, float] = {}
     for b, y in zip(bags, labels):
-        if not y:
+        if y != 1:
             for p in b:
                 count[p] = count.get(p, 0) + 1
+                sure[p] = sure.get(p, 0) + (0.5 if y == 0 else 0.2)
     clean = list(count)
-    bad_bags = [b for b in ([p for p in b if count.get(p, 0) < 2] for b, y in zip(bags, labels) if y) if b]
+    bad_bags = [b for b in ([p for p in b if sure.get(p, 0) < 0.99] for b, y in zip(bags, labels) if y == 1) if b]
     suspects = [p for p in dict.fromkeys(p for b in bad_bags for p in b) if p not in count]
     if not suspects or not clean:
         return Scorer(kernel, np.zeros(1 << kernel.bits, np.float32), -1.0, 0.0)
     instances, n_clean = clean + suspects, len(clean)
     times = np.array([count.get(p, 1) for p in instances], float)
+    once = np.array([sure.get(p, 0) < 0.99 for p in instances])
     at = {p: i for i, p in enumerate(instances)}
     bag_rows = [np.array([at[p] for p in b]) for b in bad_bags]
     k1 = min(landmarks // 2, len(suspects))
@@ -204,9 +208,9 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: fl
         table = kernel.table([instances[i] for i in rows])
         vals, vecs = np.linalg.eigh((table.T @ table).astype(np.float64))
         root = (vecs / np.sqrt(np.maximum(vals, 1e-4 * vals.max()))) @ vecs.T
-        x = np.concatenate([kernel.project(instances[i : i + 256], table) for i in range(0, len(instances), 256)]).astype(np.float64) @ root
-        norm = max(float(np.sqrt((x * x).sum(1)).mean()), 1e-9)
-        x /= norm
+        x = np.concatenate([kernel.project(instances[i : i + 48], table) for i in range(0, len(instances), 48)]) @ root.astype(np.float32)
+        norm = max(float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean()), 1e-9)
+        x /= np.float32(norm)
 
     place(np.concatenate([likely, common]))
     positive = np.zeros(len(instances), bool)
@@ -216,8 +220,8 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: fl
         use = ~drop
         y = np.where(positive, 1.0, -1.0)
         weight = np.sqrt(np.minimum(times, 50.0))
-        weight[positive] = np.clip(np.sqrt(weight[use & ~positive].sum() / max(1, positive[use].sum())), 1, 6)
-        w = squared_hinge(x[use], y[use], weight[use], c)
+        weight[positive] = np.clip(np.sqrt(weight[use & ~positive].sum() / max(1, positive[use].sum())), 1, 8)
+        w = squared_hinge(x[use], y[use], weight[use], c, w)
         score = x @ w[:-1] + w[-1]
         if turn == rounds - 1:
             break
@@ -226,7 +230,6 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: fl
         for r in bag_rows:
             s = score[r]
             positive[r[((s == s.max()) & (s > (-0.7 if turn < 2 else 0.2))) | (s > 0.2)]] = True
-        once = times < 2
         positive &= once
         drop[:n_clean] = once[:n_clean] & (score[:n_clean] > 0.5) & ~positive[:n_clean]
         if turn >= 2:  # what an abusive document holds besides its worst pieces is not known to be clean
@@ -238,18 +241,26 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 256, c: fl
             neg = order[~positive[order]][: 4 * landmarks]
             neg = rng.permutation(neg)[: landmarks - len(pos)]
             place(np.concatenate([pos, neg]))
+            w = None
     return Scorer(kernel, (table @ (root @ w[:-1] / norm)).astype(np.float32), float(w[-1]), 0.0)
 
 
-def training_documents(documents: DataFrame, labels: DataFrame, abusive: int = 1500, clean: int = 2500) -> DataFrame:
-    """text, y: at most so many documents of either judgement, those with the least hash of doc_id.
+def training_documents(documents: DataFrame, labels: DataFrame, abusive: int = 2000, clean: int = 4000) -> DataFrame:
+    """text, y: at most so many documents of either judgement, those with the least hash of doc_id; where there are
+    fewer clean ones than that, documents without a judgement (y = -1) make up the number.
 
     Judgements of a document are averaged; documents judged both ways alike are left out.
     """
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("y")).where("y <> 0.5")
     both = votes.join(documents.select("doc_id", "text").where("text is not null"), "doc_id").select("doc_id", "text", (F.col("y") > 0.5).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return both.where("y = 1").orderBy(*order).limit(abusive).unionByName(both.where("y = 0").orderBy(*order).limit(clean)).select("text", "y")
+    judged = both.where("y = 1").orderBy(*order).limit(abusive).unionByName(both.where("y = 0").orderBy(*order).limit(clean)).select("text", "y")
+    # few judgements: documents without one, of which few are abusive, show what is usual
+    short = clean - both.where("y = 0").limit(clean).count()
+    if short <= 0:
+        return judged
+    others = documents.select("doc_id", "text").where("text is not null").join(labels.select("doc_id"), "doc_id", "left_anti")
+    return judged.unionByName(others.orderBy(*order).limit(short).select("text", F.lit(-1).alias("y")))
 
 
 def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.2, **kw) -> DataFrame:
