@@ -78,47 +78,45 @@ class Kernel:
         four = [(0, i, j, k) for k in range(3, self.reach4 + 1) for j in range(2, k) for i in range(1, j)]
         return [(p, self.decay ** (p[-1] + 1 - len(p))) for p in three + four]
 
-    def features(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """For each pattern: positions in the joined text, hashed features there, weight."""
-        joined = np.frombuffer((" " + "  ".join(texts) + " ").encode("ascii", "replace"), np.uint8).astype(np.uint64)
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, float]]]:
+        """Where each text's positions begin, the texts' lengths, and for each pattern the hashed feature of every
+        position and its weight. A text has a blank in front and enough behind that no feature reaches another."""
+        lens = np.array([len(t) for t in texts])
+        pad = " " * (max(self.reach3, self.reach4) + 1)
+        joined = np.frombuffer("".join(f" {t}{pad}" for t in texts).encode("ascii", "replace"), np.uint8).astype(np.uint64)
+        begin = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
+        at = np.arange(int((lens + 1).sum())) + np.repeat(np.arange(len(texts)) * len(pad), lens + 1)
         mask = np.uint64((1 << self.bits) - 1)
         mult = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)]
-        n = len(joined)
-        for p, weight in self.patterns():
-            m = n - p[-1]
-            if m <= 0:
-                continue
-            h = np.full(m, np.uint64(len(p)))
-            for step, off in enumerate(p):
-                h = (h ^ joined[off : off + m]) * mult[step]
-                h ^= h >> np.uint64(29)
-            yield np.arange(m), ((h * mult[0]) >> np.uint64(20)) & mask, weight
-
-    def owner(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which text each position of the joined text belongs to, and the texts' lengths."""
-        lens = np.array([len(t) for t in texts])
-        return np.repeat(np.arange(len(texts)), lens + 2), lens
+
+        def hashed() -> Iterator[tuple[np.ndarray, float]]:
+            chars = {k: joined[at + k] for k in range(len(pad))}
+            for p, weight in self.patterns():
+                h = np.full(len(at), np.uint64(len(p)))
+                for step, off in enumerate(p):
+                    h = (h ^ chars[off]) * mult[step]
+                    h ^= h >> np.uint64(29)
+                yield ((h * mult[0]) >> np.uint64(20)) & mask, weight
+
+        return begin, lens, hashed()
 
     def project(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         """Sum of the rows of ``table`` over each text's features."""
-        who, lens = self.owner(texts)
-        starts = np.concatenate([[0], np.cumsum(lens + 2)[:-1]])
-        n = int((lens + 2).sum())
-        here = np.zeros((n, *table.shape[1:]), np.float32)  # per position, over all patterns
-        for pos, feat, weight in self.features(texts):
-            m = min(len(pos), n)
-            here[:m] += table[feat[:m]] if weight == 1 else table[feat[:m]] * np.float32(weight)
-        out = np.add.reduceat(here, starts, axis=0)
+        begin, lens, hashed = self.features(texts)
+        here = np.zeros((int((lens + 1).sum()), *table.shape[1:]), np.float32)  # per position, over all patterns
+        for feat, weight in hashed:
+            here += table[feat] if weight == 1 else table[feat] * np.float32(weight)
+        out = np.add.reduceat(here, begin, axis=0)
         scale = (1 / np.sqrt(np.maximum(lens, 8))).astype(np.float32)
         return out * (scale[:, None] if table.ndim == 2 else scale)
 
     def table(self, texts: list[str]) -> np.ndarray:
         """Feature values of each text as a column."""
         t = np.zeros((1 << self.bits, len(texts)), np.float32)
-        who, lens = self.owner(texts)
-        for pos, feat, weight in self.features(texts):
-            w = np.minimum(np.concatenate([who, np.full(max(0, len(pos) - len(who)), len(texts) - 1)])[: len(pos)], len(texts) - 1)
-            np.add.at(t, (feat, w), np.float32(weight))
+        _, lens, hashed = self.features(texts)
+        who = np.repeat(np.arange(len(texts)), lens + 1)
+        for feat, weight in hashed:
+            np.add.at(t, (feat, who), np.float32(weight))
         return t / np.sqrt(np.maximum(lens, 8)).astype(np.float32)
 
 

@@ -72,6 +72,16 @@ def broken_endings(texts: DataFrame) -> DataFrame:
         .agg(F.sum(F.when(is_end, 0).otherwise(F.col("n"))).alias("total"), F.sum(F.when(is_end, F.col("n")).otherwise(0)).alias("ends"))
         .select("field", "w", F.greatest(F.col("total") - F.col("ends"), F.lit(0)).alias("inner"), "ends")
     )
+    # where no longer word stands behind the same character, words behind any other decide
+    bare = F.regexp_replace("w", r"^[^\p{Lu}]", "")
+    anywhere = vocab.groupBy("field", bare.alias("w")).agg(F.sum("inner").alias("inner"), F.sum("ends").alias("ends"))
+    own, general = _strength(vocab), _strength(anywhere).select("field", F.col("w").alias("bare"), F.col("strength").alias("general"))
+    rated = vocab.where("ends > 0").select("field", "w", bare.alias("bare")).join(own, ["field", "w"], "left").join(general, ["field", "bare"], "left")
+    return rated.select("field", F.col("w").alias("ending"), F.coalesce("strength", "general").alias("strength")).where("strength > 0")
+
+
+def _strength(vocab: DataFrame) -> DataFrame:
+    """field, w, strength of the endings that begin longer inner words (0 if they are words themselves)."""
     starts = (
         vocab.where("inner > 0")
         .select("field", "inner", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", F.lit(1), i))).alias("p"), "w")
@@ -80,12 +90,7 @@ def broken_endings(texts: DataFrame) -> DataFrame:
         .agg(F.max("inner").alias("longer"))
     )
     least = F.least("ends", "longer")
-    return (
-        vocab.where("ends > 0")
-        .join(starts, ["field", "w"])
-        .select("field", F.col("w").alias("ending"), F.when(F.col("inner") <= 0.1 * least, 2).when(F.col("inner") <= 0.5 * least, 1).otherwise(0).alias("strength"))
-        .where("strength > 0")
-    )
+    return vocab.where("ends > 0").join(starts, ["field", "w"]).select("field", "w", F.when(F.col("inner") <= 0.1 * least, 2).when(F.col("inner") <= 0.5 * least, 1).otherwise(0).alias("strength"))
 
 
 def truncated(rows: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
