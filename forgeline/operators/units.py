@@ -136,6 +136,18 @@ def _number(c: Column) -> Column:
     return F.when(c.contains("/"), whole + frac).otherwise(F.replace(c, F.lit(","), F.lit(".")).try_cast("double"))
 
 
+# Fractions that are one character.
+FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
+
+
+def spelled_out(c: Column) -> Column:
+    """Texts with fraction characters (few) with these written out: 1½ as 1-1/2."""
+    out = F.regexp_replace(c, f"(?<=[0-9])(?=[{''.join(FRACTIONS)}])", "-")
+    for sign, written in FRACTIONS.items():
+        out = F.replace(out, F.lit(sign), F.lit(written))
+    return F.when(c.rlike(f"[{''.join(FRACTIONS)}]"), out).otherwise(c)
+
+
 def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float = 100.0, foreign_only: bool = False) -> DataFrame:
     """``key``, pos, quantity, amount, is_canonical: each value with a unit in ``texts`` in canonical amounts.
 
@@ -146,7 +158,7 @@ def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float
     ones are pressure classes, grades and the like; metres need a length label, and a labelled length over
     ``max_metres`` is a cut-off MM. Null and empty texts state nothing; fractions over zero are no values.
     """
-    joined = F.upper(F.concat_ws("\n", *texts))
+    joined = spelled_out(F.upper(F.concat_ws("\n", *texts)))
     m = F.col("m")
     pattern, unit, marks = PATTERNS[foreign_only]
     tail = F.regexp_extract(m, r"(THK|THICK|LG|LONG)$", 1)

@@ -24,6 +24,7 @@ def found(spark, short=None, long=None, attributes=None):
         (None, "WALL: 2,5 CM; APPROX WT 0.4KG; UNIT WEIGHT: 3 OZ; TEMP MAX: 300 DEG F", None, {"wall": 25000, "weight": 85, "temp": 1489}),
         (None, "SIZE - 1.5\"\nTHK: 0.134 INCHES\nRATED 1480 LBS/SQ.IN", None, {"size": 38100, "wall": 3404, "pressure": 10204}),
         (None, "SERVICE TEMPERATURE UP TO 176F REPLACES; BORE: 1 1/2 INCH", None, {"temp": 800, "size": 38100}),
+        (None, "SIZE - ¼ INCH; THK: 1½IN", None, {"size": 6350, "wall": 38100}),
         (None, None, '{"sizeMm":"16IN","pressureBar":"10.5 KG/CM2","wallThicknessMm":"0.2 CM"}', {"size": 406400, "pressure": 1030, "wall": 2000}),
         (None, None, '{"sizeMm":16,"pressureBar":null}', {}),
         (None, None, "not json", {}),
