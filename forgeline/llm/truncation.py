@@ -77,7 +77,7 @@ def broken_endings(texts: DataFrame) -> DataFrame:
     anywhere = vocab.groupBy("field", bare.alias("w")).agg(F.sum("inner").alias("inner"), F.sum("ends").alias("ends"))
     own, general = _strength(vocab), _strength(anywhere).select("field", F.col("w").alias("bare"), F.col("strength").alias("general"))
     rated = vocab.where("ends > 0").select("field", "w", bare.alias("bare")).join(own, ["field", "w"], "left").join(general, ["field", "bare"], "left")
-    return rated.select("field", F.col("w").alias("ending"), F.coalesce("strength", "general").alias("strength")).where("strength > 0")
+    return rated.select("field", F.col("w").alias("ending"), F.coalesce("strength", F.when(F.col("general") == 2, 2)).alias("strength")).where("strength > 0")
 
 
 def _strength(vocab: DataFrame) -> DataFrame:
