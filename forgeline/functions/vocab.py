@@ -152,8 +152,8 @@ def term_frequencies(descriptions: Column, df: DataFrame, least: int = 5, share:
     low, high = TERM_LENGTHS
     terms = docs.select(F.explode(words).alias("token")).where((F.length("token") >= low) & (F.length("token") <= high) & ~F.col("token").isin(stopword_list()))
     counts = terms.groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(total).where((F.col("documents") >= least) & (F.col("documents") <= F.greatest(F.lit(float(least)), F.col("n") * share))).select("token", "documents")
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    return counts.where((F.col("documents") >= least) & (F.col("documents") <= F.greatest(F.lit(float(least)), total * share)))
 
 
 def subtype_vocabulary(descriptions: Column, df: DataFrame, most: int = 20_000, **kw) -> list[str]:
