@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgeline.session import cut
@@ -58,8 +59,8 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = No
     both = want.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     room = F.col("max_repeats") * F.col("tokens")
     if total_tokens is None:
-        largest = both.where(room > 0).agg(F.min(room / F.col("target_share")).alias("whole"))
-        both = both.crossJoin(largest)  # one row
+        # a window over the few sources
+        both = both.withColumn("whole", F.min(F.when(room > 0, room / F.col("target_share"))).over(W.partitionBy(F.lit(0))))
     else:
         both = both.withColumn("whole", F.lit(float(total_tokens)))
     exact = F.when(room > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * F.col("whole") / F.col("tokens"))).otherwise(0.0)
@@ -92,6 +93,5 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | N
     plan = rates(counts, targets, total_tokens)
     got = copies(counts, plan).groupBy("source").agg(F.sum("copies").alias("uses"), F.sum(F.col("copies") * F.col("tokens")).alias("mix_tokens"))
     both = plan.join(got, "source", "left").withColumns({"uses": F.coalesce("uses", F.lit(0)), "mix_tokens": F.coalesce("mix_tokens", F.lit(0))})
-    whole = both.agg(F.sum("mix_tokens").alias("whole"))
-    share = F.coalesce(F.col("mix_tokens") / F.nullif(F.col("whole"), F.lit(0)), F.lit(0.0))
-    return both.crossJoin(whole).select("source", "target_share", "max_repeats", "docs", "tokens", "rate", "uses", "mix_tokens", share.alias("actual_share"), (F.abs(share - F.col("target_share")) <= tolerance).alias("met"))
+    share = F.coalesce(F.col("mix_tokens") / F.nullif(F.sum("mix_tokens").over(W.partitionBy(F.lit(0))), F.lit(0)), F.lit(0.0))
+    return both.select("source", "target_share", "max_repeats", "docs", "tokens", "rate", "uses", "mix_tokens", share.alias("actual_share"), (F.abs(share - F.col("target_share")) <= tolerance).alias("met"))
