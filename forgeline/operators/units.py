@@ -145,7 +145,7 @@ def spelled_out(c: Column) -> Column:
     out = F.regexp_replace(c, f"(?<=[0-9])(?=[{''.join(FRACTIONS)}])", "-")
     for sign, written in FRACTIONS.items():
         out = F.replace(out, F.lit(sign), F.lit(written))
-    return F.when(c.rlike(f"[{''.join(FRACTIONS)}]"), out).otherwise(c)
+    return F.when(F.octet_length(c) > F.char_length(c), out).otherwise(c)
 
 
 def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float = 100.0, foreign_only: bool = False) -> DataFrame:
