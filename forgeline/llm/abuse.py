@@ -39,7 +39,7 @@ def plain(text: str) -> str:
 def pieces(text: str, words: int = 12, step: int = 6) -> list[str]:
     """Sentences and their parts as plain text, numbers as 0, in windows of at most ``words`` words.
 
-    An address in front of a statement is too short to judge alone, so parts under four words join the next.
+    Parts under four words (an address, a subject line) are too short to judge alone and join the next.
     """
     out, left = [], ""
     for part in SPLIT.split(plain(text)):
@@ -47,7 +47,7 @@ def pieces(text: str, words: int = 12, step: int = 6) -> list[str]:
             continue
         w = re.sub(r"\d+(?:[.,/\-]\d+)*", "0", re.sub(r"[^a-z0-9*.,/\-]+", " ", left + " " + part)).split()
         w = [x for x in (y.strip(".,/-") for y in w) if x]
-        if len(w) < 4 and not left:
+        if len(w) < 4:
             left = " ".join(w)
             continue
         left = ""
@@ -107,7 +107,7 @@ class Kernel:
         for feat, weight in hashed:
             here += table[feat] if weight == 1 else table[feat] * np.float32(weight)
         out = np.add.reduceat(here, begin, axis=0)
-        scale = (1 / np.sqrt(np.maximum(lens, 8))).astype(np.float32)
+        scale = (1 / np.sqrt(np.maximum(lens, 20))).astype(np.float32)
         return out * (scale[:, None] if table.ndim == 2 else scale)
 
     def table(self, texts: list[str]) -> np.ndarray:
@@ -117,7 +117,7 @@ class Kernel:
         who = np.repeat(np.arange(len(texts)), lens + 1)
         for feat, weight in hashed:
             np.add.at(t, (feat, who), np.float32(weight))
-        return t / np.sqrt(np.maximum(lens, 8)).astype(np.float32)
+        return t / np.sqrt(np.maximum(lens, 20)).astype(np.float32)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, start: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
