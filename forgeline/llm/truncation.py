@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgeline.session import sequence_uploads, text
+from forgeline.session import cut, sequence_uploads, text
 
 #: What a transfer leaves behind a cut.
 MARKS = "(?:\\.\\.\\.|…|�)+$"
@@ -67,7 +67,8 @@ def broken_endings(texts: DataFrame) -> DataFrame:
     ends = F.when(F.col("c").rlike(r"\p{Lu}$"), F.array(F.concat(F.lit(END), _ending(F.col("c"))))).otherwise(F.array().cast("array<string>"))
     seen = c.select("field", F.explode(F.concat(words, ends)).alias("w")).groupBy("field", "w").agg(F.count(F.lit(1)).alias("n"))
     is_end = F.col("w").startswith(END)
-    vocab = (
+    # as long as the vocabulary; read several times below, so the texts are read once for it
+    vocab = cut(
         seen.groupBy("field", F.ltrim("w", F.lit(END)).alias("w"))
         .agg(F.sum(F.when(is_end, 0).otherwise(F.col("n"))).alias("total"), F.sum(F.when(is_end, F.col("n")).otherwise(0)).alias("ends"))
         .select("field", "w", F.greatest(F.col("total") - F.col("ends"), F.lit(0)).alias("inner"), "ends")
@@ -131,6 +132,6 @@ def cut_rates(materials: DataFrame, uploads: DataFrame) -> DataFrame:
     """source_system, field, texts, cut, cut_at_limit, share."""
     rows = _with_source(materials, uploads)
     texts = _long(rows, ["source_system"], FIELDS).groupBy("source_system", "field").agg(F.count(F.lit(1)).alias("texts"))
-    cut = truncated(rows, "id", "source_system", FIELDS).groupBy("source_system", "field").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("cut_at_limit"))
+    found = truncated(rows, "id", "source_system", FIELDS).groupBy("source_system", "field").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("cut_at_limit"))
     n = F.coalesce("cut", F.lit(0))
-    return texts.join(cut, ["source_system", "field"], "left").select("source_system", "field", "texts", n.alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"), (n / F.col("texts")).alias("share"))
+    return texts.join(found, ["source_system", "field"], "left").select("source_system", "field", "texts", n.alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"), (n / F.col("texts")).alias("share"))
