@@ -67,6 +67,15 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = No
     return both.select("source", "target_share", "max_repeats", "docs", "tokens", exact.alias("rate"))
 
 
+def settled(plan: DataFrame, most: int = 100_000) -> DataFrame:
+    """The plan as local rows, whose size Catalyst knows exactly, if it has at most ``most`` sources.
+
+    Documents then meet it in a broadcast join and are not shuffled by source, of which there are few and large ones.
+    """
+    rows = plan.limit(most + 1).collect()
+    return plan.sparkSession.createDataFrame(rows, plan.schema) if len(rows) <= most else plan
+
+
 def copies(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, tokens, copies: floor(rate), and one more with the probability of the fraction.
 
@@ -81,7 +90,7 @@ def copies(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
 def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, tokens, copy (1, 2, ...): the chosen mix, one row per use of a document."""
     counts = cut(token_counts(documents, vocabulary))
-    return copies(counts, rates(counts, targets, total_tokens)).select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return copies(counts, settled(rates(counts, targets, total_tokens))).select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY, tolerance: float = 0.01) -> DataFrame:
@@ -90,7 +99,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | N
     met: the actual share is within ``tolerance`` (absolute) of the target.
     """
     counts = cut(token_counts(documents, vocabulary))
-    plan = rates(counts, targets, total_tokens)
+    plan = settled(rates(counts, targets, total_tokens))
     got = copies(counts, plan).groupBy("source").agg(F.sum("copies").alias("uses"), F.sum(F.col("copies") * F.col("tokens")).alias("mix_tokens"))
     both = plan.join(got, "source", "left").withColumns({"uses": F.coalesce("uses", F.lit(0)), "mix_tokens": F.coalesce("mix_tokens", F.lit(0))})
     share = F.coalesce(F.col("mix_tokens") / F.nullif(F.sum("mix_tokens").over(W.partitionBy(F.lit(0))), F.lit(0)), F.lit(0.0))
