@@ -37,9 +37,11 @@ def percentiles(df: DataFrame, group: str, item: str, scores: list[str], cuts: i
     )
     out = df.select(F.col(group).alias("__g"), F.col(item).alias("__i"), *[F.when(F.isnan(F.col(s).cast("double")), None).otherwise(F.col(s).cast("double")).alias(n) for s, n in zip(scores, names)])
     for i, n in enumerate(names):
-        r = ranks.where(F.col("k") == i).select(F.col("__g").alias("__rg"), F.col("v").alias("__rv"), F.col("p").alias(f"__p{i}"))
-        # the hash of the value spreads the rows of a hot group over the join's partitions
-        out = out.join(r, (F.col("__g").eqNullSafe(F.col("__rg"))) & F.col(n).eqNullSafe(F.col("__rv")), "left").drop("__rg", "__rv")
+        r = ranks.where((F.col("k") == i) & F.col("v").isNotNull()).select(F.col("__g").alias("__rg"), F.col("v").alias("__rv"), F.col("p").alias(f"__p{i}"))
+        # the value spreads the rows of a hot group over the join's partitions; items without one, which need no
+        # partner, are spread by the hash of the item
+        key = F.struct(F.when(F.col(n).isNull(), F.xxhash64("__i")).alias("none"), F.col(n).alias("v"))
+        out = out.withColumn("__k", key).join(r.withColumn("__rk", F.struct(F.lit(None).cast("long").alias("none"), F.col("__rv").alias("v"))), (F.col("__g") == F.col("__rg")) & (F.col("__k") == F.col("__rk")), "left").drop("__rg", "__rv", "__k", "__rk")
     return out.select(F.col("__g").alias(group), F.col("__i").alias(item), *[F.coalesce(F.col(f"__p{i}"), F.lit(0.0)).alias(f"pct_{s}") for i, s in enumerate(scores)])
 
 
