@@ -96,7 +96,7 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, probes: int = 12, shortlist: int = 32, queries: str | None = None,
-                       levels: int = 6, words: int = 128, beam: int = 4, sample: int = 16_384, block: int = 4_096) -> DataFrame:
+                       levels: int = 6, words: int = 128, beam: int = 4, sample: int = 16_384, block: int = 4_096, copies: bool = True) -> DataFrame:
     """id_a, id_b, cosine, rank: the ``k`` most similar other vectors (id_b) of every vector (id_a).
 
     Codebooks are fitted on the ``sample`` vectors with the least hash (bounded, read on the driver); every vector
@@ -107,15 +107,15 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
 
     Exact copies are searched once: of each group of equal vectors only the k + 1 least ids are indexed, which is
     all that any list can hold, as ties go to the smaller id; the other copies ask, if they ask, as their group
-    does. Cells are split into blocks of at most about ``block`` members and ``block`` queries, so a hot cell costs
+    does (``copies`` = False leaves their lists out). Cells are split into blocks of at most about ``block`` members and ``block`` queries, so a hot cell costs
     more tasks, not larger ones. An empty table, or one without usable vectors, gives an empty result. Fewer than
     k other vectors give shorter lists.
     """
     spark = df.sparkSession
     schema = "id_a string, id_b string, cosine double, rank int"
     vecs = usable(df, key, vector, dim).withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit("copy")).alias("b")))
-    ranked = vecs.withColumn("c", F.row_number().over(W.partitionBy("h").orderBy("id")))
-    few = ranked.where(F.col("c") <= k + 1)
+    # Spark limits each group before the shuffle, so copies never meet in one task
+    few = vecs.withColumn("c", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("c") <= k + 1)
     head = few.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
     if not len(head):
         return spark.createDataFrame([], schema)
@@ -185,17 +185,20 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
     found = members.unionByName(asking).groupBy("cell", "m", "q").applyInPandas(search, "id_a string, id_b string, cosine double")
     best = W.partitionBy("id_a").orderBy(F.col("cosine").desc(), "id_b")
     lists = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    lists = lists.select("id_a", "id_b", "cosine", "rank")
+    if not copies:
+        return lists
     # copies beyond the k + 1 least ids of their group: the k least ids of the group are their list
-    rest = ranked.where(F.col("c") > k + 1).select(F.col("id").alias("id_a"), "h")
-    if queries:
-        rest = rest.withColumnRenamed("id_a", "id").where(queries).withColumnRenamed("id", "id_a")
-    first = ranked.where(F.col("c") <= k).select("h", F.col("id").alias("id_b"), F.col("c").alias("rank"))
-    return lists.select("id_a", "id_b", "cosine", "rank").unionByName(rest.join(first, "h").select("id_a", "id_b", F.lit(1.0).alias("cosine"), "rank"))
+    rest = vecs.select("id", "h").join(few.select("id"), "id", "left_anti")
+    rest = rest.where(queries) if queries else rest
+    first = few.where(F.col("c") <= k).select("h", F.col("id").alias("id_b"), F.col("c").alias("rank"))
+    return lists.unionByName(rest.join(first, "h").select(F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("cosine"), "rank"))
 
 
 def mutual_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.95, **kw) -> DataFrame:
     """id_a < id_b: each is among the other's ``k`` most similar, and their cosine is at least ``least``."""
-    close = nearest_neighbours(df, key, vector, k, **kw).where(F.col("cosine") >= least)
+    # lists of copies beyond the k + 1 least ids hold nobody who has them in theirs
+    close = nearest_neighbours(df, key, vector, k, copies=False, **kw).where(F.col("cosine") >= least)
     return (
         close.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"))
