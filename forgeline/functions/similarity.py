@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,34 +35,42 @@ def osa_distance(a: str, b: str, most: int | None = None) -> int:
     return old[-1]
 
 
-def trigrams(text: str) -> list[str]:
+@lru_cache(maxsize=20_000)
+def trigrams(text: str) -> tuple[str, ...]:
     """Trigrams in order; words in lower case, two blanks in front and one behind."""
-    return [p[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
+    return tuple(sys.intern(p[i : i + 3]) for w in re.findall(r"[^\W_]+", text.lower()) for p in [f"  {w} "] for i in range(len(p) - 2))
 
 
 def word_similarity(query: str, doc: str) -> float:
-    """Greatest similarity of the query's trigram set with any run of the document's trigrams."""
+    """Greatest similarity of the query's trigram set with any run of the document's trigrams.
+
+    The best run begins and ends with a trigram of the query. Runs are given up when they, or all that begin
+    later, can no longer be better.
+    """
     q = set(trigrams(query))
     if not q:
         return 0.0
     seq = trigrams(doc)
     hits = [i for i, t in enumerate(seq) if t in q]
-    best = 0.0
+    left, ahead = set(), []
+    for i in reversed(hits):
+        left.add(seq[i])
+        ahead.append(len(left))
+    ahead.reverse()
+    n, best = len(q), 0.0
     for s, start in enumerate(hits):
-        if best >= 1:
+        if ahead[s] <= best * n:
             break
         seen: set[str] = set()
-        shared = 0
-        at = start
+        shared, at = 0, start
         for end in hits[s:]:
             for t in seq[at : end + 1]:
                 if t not in seen:
                     seen.add(t)
                     shared += t in q
             at = end + 1
-            sim = shared / (len(q) + len(seen) - shared)
-            best = max(best, sim)
-            if len(q) / (len(seen)) < best:  # longer runs cannot be better
+            best = max(best, shared / (n + len(seen) - shared))
+            if n <= best * len(seen):
                 break
     return best
 

@@ -10,7 +10,7 @@ from forgeline.functions import scoring
 from forgeline.functions.parse import ATTRIBUTES, parsed
 from forgeline.functions.similarity import trigram_set, word_similarity_udf
 from forgeline.functions.vocab import lexemes, search_tokens
-from forgeline.session import BLANKS, sequence_uploads, stripped, text
+from forgeline.session import BLANKS, cut, sequence_uploads, stripped, text
 
 SHORT_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 ARM_LIMIT, CODE_LIMIT, POOL_LIMIT = 360, 100, 120
@@ -82,25 +82,37 @@ def code_arm(queries: DataFrame, base: DataFrame, n: int = CODE_LIMIT) -> DataFr
     return top(hit.select("query_id", "id").distinct(), n)
 
 
+def indexed(base: DataFrame) -> DataFrame:
+    """The search columns of the rows: text in lower case, lexemes of the short description and of the whole text."""
+    if "search_doc" in base.columns:
+        return base
+    tokens = base.select("*", F.explode(F.array(search_tokens(F.col("short_description"), F.col("long_description"), F.col("class_name")))).alias("__t"))
+    short = lexemes(search_tokens(F.col("short_description")))
+    return tokens.withColumns({"search_doc": F.lower(F.array_join("__t", " ")), "short_terms": short, "all_terms": lexemes(F.col("__t"))}).drop("__t")
+
+
+def raw_lexical(terms: Column, short: Column, whole: Column) -> Column:
+    """1.0 for each query term in the short description, 0.4 for each in the whole text."""
+    return F.round(SHORT_WEIGHT * F.size(F.array_intersect(terms, short)) + TEXT_WEIGHT * F.size(F.array_intersect(terms, whole)), 6)
+
+
 def lexical_scores(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """query_id, id, raw_lexical: 1.0 for each query term in the short description, 0.4 for each in the whole text."""
-    whole = search_tokens(F.col("short_description"), F.col("long_description"), F.col("class_name"))
-    rows = base.select("id", lexemes(search_tokens(F.col("short_description"))).alias("a"), lexemes(whole).alias("b"))
-    posts = rows.select("id", F.explode("b").alias("term"), "a").select("id", "term", (F.lit(TEXT_WEIGHT) + F.when(F.array_contains("a", F.col("term")), SHORT_WEIGHT).otherwise(0.0)).alias("w"))
+    """query_id, id, raw_lexical of every row that shares a term with the query, through a join of postings."""
+    rows = indexed(base).select("id", "short_terms", F.explode("all_terms").alias("term"))
+    posts = rows.select("id", "term", (F.lit(TEXT_WEIGHT) + F.when(F.array_contains("short_terms", F.col("term")), SHORT_WEIGHT).otherwise(0.0)).alias("w"))
     asked = queries.select("query_id", F.explode("terms").alias("term"))
     return posts.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("raw_lexical"))
 
 
 def trigram_scores(queries: DataFrame, base: DataFrame, least: float = WORD_SIMILARITY) -> DataFrame:
     """query_id, id, fuzzy_score >= least. Shared trigrams over the query's bound the similarity from above."""
-    doc = F.lower(F.array_join(search_tokens(F.col("short_description"), F.col("long_description"), F.col("class_name")), " "))
-    docs = base.select("id", doc.alias("doc"))
-    posts = docs.select("id", F.explode(trigram_set(F.col("doc"))).alias("t"))
-    grams = queries.select("query_id", trigram_set(F.col("query_text")).alias("ts"))
+    docs = indexed(base).select("id", "search_doc")
+    posts = docs.select("id", F.explode(trigram_set(F.col("search_doc"))).alias("t"))
+    grams = queries.select("query_id", F.explode(F.array(trigram_set(F.col("query_text")))).alias("ts"))
     asked = grams.select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
     shared = posts.join(asked, "t").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).where(F.col("s") >= F.col("n") * least)
     pairs = shared.join(queries.select("query_id", "query_text"), "query_id").join(docs, "id")
-    return pairs.select("query_id", "id", word_similarity_udf(F.lower("query_text"), F.col("doc")).alias("fuzzy_score")).where(F.col("fuzzy_score") >= least)
+    return pairs.select("query_id", "id", word_similarity_udf(F.lower("query_text"), F.col("search_doc")).alias("fuzzy_score")).where(F.col("fuzzy_score") >= least)
 
 
 def attribute_arm(queries: DataFrame, base: DataFrame, n: int = ARM_LIMIT) -> DataFrame:
@@ -136,13 +148,14 @@ def candidates(queries: DataFrame, base: DataFrame, n: int = POOL_LIMIT) -> Data
     Scoring runs on narrow columns; descriptions are joined by the caller. Of a material's rows the one with the
     best status stays, then the latest, then the least id.
     """
-    base = base.where("status_active")
-    lexical, trigram = lexical_scores(queries, base), trigram_scores(queries, base)
-    pool = pooled(queries, base, lexical, trigram)
     cols = ["id", "corporate_no", "sap_no", "plant", "class_name", "short_description", "long_description", "status", "item_type", "procurement_rank", "updated_at", "attrs"]
-    rows = pool.select("query_id", "id").join(base.select(*cols), "id").join(queries, "query_id").join(lexical, ["query_id", "id"], "left")
-    doc = F.lower(F.array_join(search_tokens(F.col("short_description"), F.col("long_description"), F.col("class_name")), " "))
-    rows = rows.withColumn("fuzzy_score", word_similarity_udf(F.lower("query_text"), doc)).withColumn("raw_lexical", F.coalesce("raw_lexical", F.lit(0.0)))
+    # read by every arm and by the scoring: narrow columns and their search columns, written once
+    base = cut(indexed(base.where("status_active").select(*cols)))
+    queries = cut(queries)
+    pool = pooled(queries, base, lexical_scores(queries, base), trigram_scores(queries, base))
+    rows = pool.select("query_id", "id").join(base, "id").join(queries, "query_id")
+    rows = rows.withColumn("fuzzy_score", word_similarity_udf(F.lower("query_text"), F.col("search_doc"))).withColumn("raw_lexical", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")))
+    rows = rows.drop("search_doc", "short_terms", "all_terms", "terms")
     code = (F.col("code") != "") & ((F.col("sap_no") == F.col("code")) | (F.upper("corporate_no") == F.col("code")))
     eng = scoring.engineering_score(F.col("q.itemType"), F.col("q.sizeMm"), F.col("q.subtypes"), F.coalesce("q.connection", F.lit("")), F.coalesce("q.pressureClass", F.lit("")), F.col("item_type"), F.col("attrs"))
     scored = rows.withColumn("exact_match", code | (F.lower("short_description") == F.lower("query_text"))).withColumn("lexical_score", scoring.squashed(F.col("raw_lexical")))

@@ -158,14 +158,15 @@ def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float
     ones are pressure classes, grades and the like; metres need a length label, and a labelled length over
     ``max_metres`` is a cut-off MM. Null and empty texts state nothing; fractions over zero are no values.
     """
-    joined = spelled_out(F.upper(F.concat_ws("\n", *texts)))
+    # a projection of its own: the text is made once, though read several times
+    whole = df.select(F.col(key).alias("__key"), F.upper(F.concat_ws("\n", *texts)).alias("__text"))
     m = F.col("m")
     pattern, unit, marks = PATTERNS[foreign_only]
     tail = F.regexp_extract(m, r"(THK|THICK|LG|LONG)$", 1)
     spelled = F.regexp_extract(m, rf"({unit}) *(?:THK|THICK|LG|LONG)?$", 1)
     conv = conversion_table(df.sparkSession)
     found = (
-        df.select(F.col(key).alias("__key"), F.posexplode(F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))).alias("pos", "m"))
+        whole.select("__key", F.posexplode(F.regexp_extract_all(spelled_out(F.col("__text")), F.lit(pattern), F.lit(0))).alias("pos", "m"))
         .select("__key", "pos", "m", F.regexp_replace(spelled, r"^DEG\.? ?", "DEG ").alias("spelling"))
         .join(conv.where("not is_canonical") if foreign_only else conv, "spelling")
     )
