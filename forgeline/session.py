@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -48,7 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "forgeline-checkpoints"))
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="forgeline-checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
