@@ -7,8 +7,10 @@ import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -96,3 +98,50 @@ def cosine(a: Column, b: Column) -> Column:
 
     norm = dot(a, a) * dot(b, b)
     return F.when((F.size(a) == F.size(b)) & (norm > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(norm))))
+
+
+def nearest_of_all(vectors: DataFrame, queries: str, k: int = 10, places: int = 4, block: int = 8192) -> DataFrame:
+    """query_id, vec_id, sim, rank: the ``k`` nearest other vectors of each vector that meets the SQL condition ``queries``.
+
+    Every query is compared with every vector, by the cosine above, rounded to ``places``; ties go to the smaller
+    vec_id, and vectors without a cosine (null) come last. Blocks of vectors meet blocks of queries (a quarter as
+    large), each pair of blocks in one task that keeps its best ``k``; the best of these follow from a window.
+    """
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    q = v.where(queries)
+    nv, nq = (max(1, -(-df.count() // size)) for df, size in ((v, block), (q, max(1, block // 4))))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    members = v.select("vec_id", "v", F.lit(False).alias("asks"), own(nv).alias("b"), every(nq).alias("qb"))
+    asking = q.select("vec_id", "v", F.lit(True).alias("asks"), every(nv).alias("b"), own(nq).alias("qb"))
+    unit = 10**places
+
+    def best(p: pd.DataFrame) -> pd.DataFrame:
+        a, m = p[p["asks"]], p[~p["asks"]].sort_values("vec_id", kind="stable")
+        aid, mid = a["vec_id"].to_numpy(), m["vec_id"].to_numpy()
+        length = lambda x: np.array([-1 if e is None else len(e) for e in x["v"]], dtype=int)
+        alen, mlen = length(a), length(m)
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for i in range(0, len(a), 256):
+            sims = np.full((len(aid[i : i + 256]), len(mid)), -1, dtype=np.int64)  # -1: no cosine
+            for n in set(alen[i : i + 256]) - {-1, 0}:
+                rows, cols = np.flatnonzero(alen[i : i + 256] == n), np.flatnonzero(mlen == n)
+                if len(cols):
+                    x, y = np.stack(a["v"].iloc[i + rows].to_list()), np.stack(m["v"].iloc[cols].to_list())
+                    norm = np.outer((x * x).sum(1), (y * y).sum(1))
+                    with np.errstate(all="ignore"):
+                        c = np.floor(np.clip(x @ y.T / np.sqrt(norm), 0.0, 1.0) * unit + 0.5)
+                        sims[np.ix_(rows, cols)] = np.where(norm > 0, c, -1)
+            # one number holds the order: the similarity, then the place by vec_id; a vector is not its own neighbour
+            order = (unit - sims) * len(mid) + np.arange(len(mid))
+            order[aid[i : i + 256, None] == mid[None, :]] = np.iinfo(np.int64).max
+            top = np.argpartition(order, min(k, len(mid)) - 1, axis=1)[:, :k] if len(mid) else np.empty((len(order), 0), int)
+            r, c = np.repeat(np.arange(len(order)), top.shape[1]), top.ravel()
+            keep = order[r, c] < np.iinfo(np.int64).max
+            r, c = r[keep], c[keep]
+            found.append((aid[i + r], mid[c], np.where(sims[r, c] < 0, np.nan, sims[r, c] / unit)))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "sim"), zip(*found))})
+
+    local = members.unionByName(asking).groupBy("b", "qb").applyInPandas(best, "query_id long, vec_id long, sim double")
+    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("sim").desc_nulls_last(), "vec_id")))
+    return ranked.where(F.col("rank") <= k)

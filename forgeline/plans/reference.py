@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgeline.functions import parse, scoring, vocab
-from forgeline.functions.similarity import cosine
+from forgeline.functions.similarity import nearest_of_all
 from forgeline.operators import analytics as an
 from forgeline.operators import evaluate, match, retrieve
 from forgeline.operators import store
@@ -189,12 +189,8 @@ def shortlist(spark, d):
 
 
 def cosine_topk(spark, d):
-    """The ten nearest vectors of the same label for each vector whose number is divisible by 20."""
-    e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qe"))
-    s = e.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("qe"), F.col("embedding")), 4).alias("sim"))
-    w = W.partitionBy("query_id").orderBy(F.col("sim").desc(), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    """The ten nearest of all vectors, whatever their label, for each vector whose number is divisible by 20."""
+    return nearest_of_all(read(spark, d, "embeddings"), "vec_id % 20 = 0")
 
 
 def event_props(spark, d):
