@@ -109,6 +109,26 @@ def conversion_table(spark: SparkSession, graph: UnitGraph | None = None) -> Dat
             rows += [(s, dim, target, f.factor * per, f.offset * per, unit == target) for s in SPELLINGS[unit]]
     return spark.createDataFrame(rows, "spelling string, dimension string, target string, factor double, offset double, is_canonical boolean")
 
+# Numbers that are words. Hundreds and thousands multiply, halves and quarters too.
+ONES = {w: float(i) for i, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE".split(), 1)}
+TEENS = {w: float(i) for i, w in enumerate("TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN".split(), 10)}
+TENS = {w: 10.0 * i for i, w in enumerate("TWENTY THIRTY FORTY FIFTY SIXTY SEVENTY EIGHTY NINETY".split(), 2)}
+PARTS = {"HALF": 0.5, "QUARTER": 0.25, "QUARTERS": 0.25}
+
+
+def _words() -> str:
+    """Pattern of a number in words: TWENTY, TWENTY-FOUR, ONE HUNDRED AND TEN, THREE QUARTERS, TWO AND A HALF."""
+    one, teen, ten, part = ("|".join(sorted(d, key=lambda w: (-len(w), w))) for d in (ONES, TEENS, TENS, PARTS))
+    s, end = r"[ \-]+", r"(?![A-Z])"
+    small = rf"(?:(?:{ten}){end}(?:{s}(?:{one}){end})?|(?:{teen}|{one}){end})"
+    hundred = rf"(?:{small}{s})?HUNDRED{end}(?:{s}(?:AND{s})?{small})?"
+    thousand = rf"(?:{small}{s})?THOUSAND{end}(?:{s}(?:AND{s})?(?:{hundred}|{small}))?"
+    fraction = rf"(?:(?:A|ONE|THREE){s})?(?:{part}){end}"
+    return rf"(?:{thousand}|{hundred}|{small}{s}AND{s}{fraction}|{fraction}|{small})"
+
+
+WORDS = _words()
+
 
 def _regex(foreign_only: bool) -> tuple[str, str, str]:
     """Patterns of a value with its unit, of the unit, and of the label in front."""
@@ -119,7 +139,10 @@ def _regex(foreign_only: bool) -> tuple[str, str, str]:
     mark = r"(?:WALL(?: THICKNESS)?|THICKNESS|THK|LENGTH|LG|L(?==)|TEMP[A-Z]*(?: [A-Z]+){0,3}|WEIGHT|WT)"
     # lookaheads stand before lookbehinds, so that the costly ones run at few positions only
     named = r"(?<!\b(?:SCH|CL|CLASS|API|DIN|ISO|EN|BS|FIG|NO|PN|DN)[ .]{0,2})"
-    number = rf"(?=\d)(?<![A-Z0-9./#\-])(?:\d{{1,2}}-\d{{1,2}}/\d{{1,2}}|(?=\d{{1,2}} \d{{1,2}}/){named}\d{{1,2}} \d{{1,2}}/\d{{1,2}}|\d+/\d+|(?=\d+,\d){named}\d+,\d+|\d+(?:\.\d+)?)"
+    digits = rf"(?=\d)(?<![A-Z0-9./#\-])(?:\d{{1,2}}-\d{{1,2}}/\d{{1,2}}|(?=\d{{1,2}} \d{{1,2}}/){named}\d{{1,2}} \d{{1,2}}/\d{{1,2}}|\d+/\d+|(?=\d+,\d){named}\d+,\d+|\d+(?:\.\d+)?)"
+    # in words: not the rest of a number begun otherwise, no quoted word, and IN before another word is no unit
+    spoken = rf"(?=[EFHNOQST])(?<![A-Z0-9\"'])(?<!\b(?:POINT|MINUS)[ \-]|\d[ \-]AND[ \-](?:A[ \-])?)(?!(?:H|THOU|Q)(?<=\d[ \-][A-Z]{{1,4}})){WORDS}(?:[\s\-]+(?!IN +(?!(?:LG|LONG|THK|THICK)(?![A-Z]))[A-Z0-9])|(?=[\"']))"
+    number = rf"(?:{digits}|{spoken})"
     # "12 IN LG 3 M": a length word between two values belongs to the second, except LONG, which never stands in front
     length_next = r"(?! ?[:=]| *\d[\d./,\-]* *(?:MM|CM|MTR|METRE|M|INCH|INCHES|IN|FT|FEET|\"|'')(?![A-Z]))"
     tail = rf"(?: *(?:(?:THK|THICK|LG)(?![A-Z]){length_next}|LONG(?! RAD)(?![A-Z])))?"
@@ -136,6 +159,22 @@ def _number(c: Column) -> Column:
     return F.when(c.contains("/"), whole + frac).otherwise(F.replace(c, F.lit(","), F.lit(".")).try_cast("double"))
 
 
+def _spoken(c: Column) -> Column:
+    """The value of a number in words (see ``_words``)."""
+    known = F.create_map(*[F.lit(x) for w in ({**ONES, **TEENS, **TENS}).items() for x in w])
+    parts = F.create_map(*[F.lit(x) for w in PARTS.items() for x in w])
+
+    def step(a: Column, w: Column) -> Column:
+        count = F.when(a["now"] == 0, 1.0).otherwise(a["now"])  # HUNDRED alone is one hundred
+        part = F.try_element_at(parts, w)
+        total = F.when(w == "THOUSAND", a["total"] + count * 1000).when(w == "AND", a["total"] + a["now"]).otherwise(a["total"])
+        now = F.when(w.isin("THOUSAND", "AND"), 0.0).when(w == "HUNDRED", count * 100).when(part.isNotNull(), count * part).otherwise(a["now"] + F.coalesce(F.try_element_at(known, w), F.lit(0.0)))
+        return F.struct(total.alias("total"), now.alias("now"))
+
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("now"))
+    return F.when(c != "", F.aggregate(F.split(c, r"[ \-]+"), zero, step, lambda a: a["total"] + a["now"]))
+
+
 # Fractions that are one character.
 FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
 
@@ -172,6 +211,7 @@ def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float
     )
     mark = F.regexp_extract(m, rf"^({marks})", 1)
     value = _number(F.regexp_extract(m, r"(\d[\d./,\- ]*?) *(?:[A-Z°]|''|\")[^0-9]*(?:CM2)?[^0-9]*$", 1))
+    value = F.coalesce(value, _spoken(F.regexp_extract(m, rf"(?<![A-Z])({WORDS})[\s\-]*{unit} *(?:THK|THICK|LG|LONG)?$", 1)))
     parsed = found.select("*", F.when(mark != "", F.substring(mark, 1, 2)).otherwise(F.substring(tail, 1, 2)).alias("mark"), value.alias("value"))
     dim, mk = F.col("dimension"), F.col("mark")
     quantity = (

@@ -61,3 +61,22 @@ def test_graph():
     assert abs(212 * t.factor + t.offset - 100) < 1e-9
     with pytest.raises(ValueError):
         UnitGraph([*CONVERSIONS, ("FOOT", "MM", 300.0, 0.0)])
+
+
+@pytest.mark.parametrize(
+    "long, want",
+    [
+        ("VALVE\nNOMINAL PIPE SIZE: TWENTY INCH\nPRESSURE RATING: 600 PSIG\nLENGTH: 62.5CM", {"size": 508000, "pressure": 4137, "length": 625000}),
+        ("BORE: SIX INCH; STANDARD: ASTM-A106", {"size": 152400}),
+        ("BORE: 200 MM;\nOVERALL LENGTH: TWENTY FEET;", {"length": 6096000}),
+        ("SIZE - TWENTY-FOUR INCHES; LENGTH: ONE HUNDRED AND TEN FEET", {"size": 609600, "length": 33528000}),
+        ("SIZE: ONE AND A HALF INCH; THK: THREE QUARTER INCH", {"size": 38100, "wall": 19050}),
+        ("LENGTH: ONE THOUSAND TWO HUNDRED FEET", {"length": 365760000}),
+        ("TWO SIX INCH NIPPLES", {"size": 152400}),
+        ("SIZE: SIX IN\nMATERIAL: CS", {"size": 152400}),
+        ("TEMP MAX: NINETY DEG F; WEIGHT: TWO POUNDS; TEN PSI", {"temp": 322, "weight": 907, "pressure": 69}),
+        ("ONE IN EACH BOX; TEN IN STOCK; \"TEN\" MARKED; BORE: 2 AND A HALF INCH; OFTEN INCHES; ZERO POINT FIVE INCH; FIVE BAR; SIX METRES", {}),
+    ],
+)
+def test_numbers_in_words(spark, long, want):
+    assert found(spark, None, long) == want
