@@ -46,12 +46,16 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return documents.select("doc_id", source_key().alias("source"), "text").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
-def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+#: As total_tokens: as many tokens as all documents have.
+CORPUS = "corpus"
+
+
+def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | str | None = None) -> DataFrame:
     """source, target_share, max_repeats, docs, tokens, rate: how often each document of a source is used on average.
 
     Without ``total_tokens`` the whole is as large as it can be with every share met: the least over the sources
     of max_repeats * tokens / target_share. With it, a source that is too small for its share is used max_repeats
-    times and falls short. A source without tokens, or with max_repeats 0, cannot be met and does not shrink the
+    times and falls short; ``CORPUS`` asks for as many tokens as all documents have. A source without tokens, or with max_repeats 0, cannot be met and does not shrink the
     whole; its rate is 0. Targets of one source in several spellings add up, with the least max_repeats.
     """
     want = targets.select(source_key().alias("source"), "target_share", "max_repeats").where("source <> '' and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
@@ -62,6 +66,8 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = No
         # a window over the few sources
         both = both.withColumn("whole", F.min(F.when(room > 0, room / F.col("target_share"))).over(W.partitionBy(F.lit(0))))
     else:
+        if total_tokens == CORPUS:
+            total_tokens = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         both = both.withColumn("whole", F.lit(float(total_tokens)))
     exact = F.when(room > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * F.col("whole") / F.col("tokens"))).otherwise(0.0)
     return both.select("source", "target_share", "max_repeats", "docs", "tokens", exact.alias("rate"))
@@ -87,13 +93,13 @@ def copies(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     return counts.where("tokens > 0").join(plan.select("source", "rate", "max_repeats"), "source").select("doc_id", "source", "tokens", n.alias("copies")).where("copies > 0")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, tokens, copy (1, 2, ...): the chosen mix, one row per use of a document."""
     counts = cut(token_counts(documents, vocabulary))
     return copies(counts, settled(rates(counts, targets, total_tokens))).select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY, tolerance: float = 0.01) -> DataFrame:
+def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, vocabulary: str = VOCABULARY, tolerance: float = 0.01) -> DataFrame:
     """Per source: target and actual share, tokens and documents before and in the mix, rate, and whether it is met.
 
     met: the actual share is within ``tolerance`` (absolute) of the target.

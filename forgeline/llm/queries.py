@@ -57,6 +57,15 @@ def p9_shares(spark, d):
     return mixing.mix_report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p9_mix_corpus(spark, d):
+    """The mix as large as the corpus: sources that are too small are used max_repeats times and fall short."""
+    return mixing.mixed(read(spark, d, "documents"), read(spark, d, "mix_targets"), mixing.CORPUS)
+
+
+def p9_shares_corpus(spark, d):
+    return mixing.mix_report(read(spark, d, "documents"), read(spark, d, "mix_targets"), mixing.CORPUS)
+
+
 def _scored(spark, d):
     return abuse.scored_documents(read(spark, d, "documents"), read(spark, d, "doc_labels"))
 
@@ -75,5 +84,5 @@ def p10_rates(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_ranking, p3_found, p3_neighbours, p5_found, p5_rates, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p2_found, p2_ranking, p3_found, p3_neighbours, p5_found, p5_rates, p8_found, p8_leaks, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_scores, p10_rates)
 }

@@ -1,7 +1,8 @@
 import pytest
 
 from conftest import rows
-from forgeline.llm.mixing import copies, encoder, mix_report, mixed, rates, token_counts
+from forgeline.llm.mixing import CORPUS, copies, encoder, mix_report, mixed, rates, token_counts
+from forgeline.llm.queries import QUERIES
 
 D, T = "doc_id long, text string, source string, rate double", "source string, target_share double, max_repeats int"
 
@@ -46,3 +47,20 @@ def test_expected_size(spark):
 def test_empty(spark, docs):
     t = spark.createDataFrame([("big", 1.0, 1)], T)
     assert mixed(docs.limit(0), t).count() == 0 and mixed(docs, t.limit(0)).count() == 0 and mix_report(docs.limit(0), t).first().actual_share == 0.0
+
+
+def test_corpus_size_shows_targets_that_cannot_be_met(spark, docs):
+    t = spark.createDataFrame([("big", 0.4, 2), ("small", 0.6, 2)], T)
+    r = {x.source: x for x in mix_report(docs, t, total_tokens=CORPUS, tolerance=0.05).collect()}
+    total = sum(x.tokens for x in token_counts(docs).collect())
+    assert r["small"].rate == 2.0 and r["small"].actual_share < 0.6 and not r["small"].met and not r["big"].met
+    assert abs(r["big"].rate - 0.4 * total / r["big"].tokens) < 1e-9
+    assert mix_report(docs.limit(0), t, total_tokens=CORPUS).where("uses > 0").count() == 0
+
+
+def test_registered_with_the_size_of_the_corpus(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["p9_shares_corpus"](spark, d).collect()
+    short = [x for x in got if x.tokens > 0 and not x.met]
+    assert short and any(x.rate == x.max_repeats and x.actual_share < x.target_share for x in short)
+    assert QUERIES["p9_mix_corpus"](spark, d).count() == sum(x.uses for x in got)
