@@ -94,10 +94,10 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = 4, least: float =
 
     Numbers, units and names of both sides become typed placeholders; runs of ``size`` words of these templates
     are joined by hash, and pairs with too few different item positions in common (``hit_share`` of the item, at
-    least three) go. The remaining pairs are checked on the texts: kind is "verbatim" if at least ``least`` of the
+    least three, but never more than ``least`` of the item gives if it stands in one piece) go. Items of which
+    ``least`` is shorter than a run are found by their single words instead. The remaining pairs are checked on the texts: kind is "verbatim" if at least ``least`` of the
     item's words stand in order in one passage, else "re-parameterised" if ``least_template`` of its template does
-    and every slot value was exchanged consistently. Null and empty texts leak nothing, nor do items of fewer
-    than ``size`` words. Items with the same text each leak. The windows of the items are broadcast if they are
+    and every slot value was exchanged consistently. Null and empty texts leak nothing. Items with the same text each leak. The windows of the items are broadcast if they are
     counted to be few, and joined by a shuffle beyond that.
     """
     it = items.where("item_id is not null and text is not null").select("item_id", "text", once(words_of(F.col("text"))).alias("iw"))
@@ -105,16 +105,20 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = 4, least: float =
     named = it.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}])\p{Lu}{3,}(?![\p{L}\p{N}])"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct().limit(1001).collect()
     names = F.array(*[F.lit(r.w) for r in sorted(named)]) if 0 < len(named) <= 1000 else F.array().cast("array<string>")
     it = it.select("item_id", "iw", once(template(F.col("iw"), names)).alias("item_t"))
-    iwin = it.select("item_id", F.explode(windows(F.col("item_t"), size)).alias("x"), F.size("iw").alias("n")).select("item_id", "n", F.col("x.h").alias("h"), F.col("x.pos").alias("ipos"))
+    enough = lambda n: F.ceil(n * least - 1e-9)
+    iwin = it.where(enough(F.size("iw")) >= size).select("item_id", F.explode(windows(F.col("item_t"), size)).alias("x"), F.size("iw").alias("n")).select("item_id", "n", F.col("x.h").alias("h"), F.col("x.pos").alias("ipos"))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    dwin = docs.select("doc_id", once(template(words_of(F.col("text")), names)).alias("dt")).select("doc_id", F.explode(windows(F.col("dt"), size)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
+    dtemp = docs.select("doc_id", once(template(words_of(F.col("text")), names)).alias("dt"))
+    dwin = dtemp.select("doc_id", F.explode(windows(F.col("dt"), size)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
     hits = dwin.join(bounded(iwin, broadcast_rows), "h")
     # one row per pair: item positions are few, and of the document's the first of each stretch of 32 words
-    pairs = (
-        hits.groupBy("doc_id", "item_id", "n")
-        .agg(F.size(F.collect_set("ipos")).alias("hits"), F.collect_set((F.floor(F.col("pos") / 32) * 32).cast("int")).alias("around"))
-        .where(F.col("hits") >= F.greatest(F.lit(3), F.ceil(F.col("n") * hit_share)))
-    )
+    together = lambda h: h.groupBy("doc_id", "item_id", "n").agg(F.size(F.collect_set("ipos")).alias("hits"), F.collect_set((F.floor(F.col("pos") / 32) * 32).cast("int")).alias("around"))
+    pairs = together(hits).where(F.col("hits") >= F.least(F.greatest(F.lit(3), F.ceil(F.col("n") * hit_share)), enough(F.col("n")) - size + 1))
+    short = it.where(enough(F.size("iw")) < size)
+    if short.limit(1).count():
+        swords = short.select("item_id", F.size("iw").alias("n"), F.posexplode("item_t").alias("ipos", "w"))
+        dwords = dtemp.select("doc_id", F.posexplode("dt").alias("pos", "w"))
+        pairs = pairs.unionByName(together(dwords.join(bounded(swords, broadcast_rows), "w")).where(F.col("hits") >= enough(F.col("n"))))
     found = pairs.join(docs, "doc_id").join(bounded(it, broadcast_rows // 50), "item_id")
     ready = found.select("doc_id", "item_id", "around", "iw", "item_t", once(words_of(F.col("text"))).alias("dw")).withColumn("dt", template(F.col("dw"), names))
 
@@ -123,7 +127,7 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = 4, least: float =
             rows = []
             for doc_id, item_id, around, iw, item_t, dw, dt in p[["doc_id", "item_id", "around", "iw", "item_t", "dw", "dt"]].itertuples(index=False):
                 iw, item_t, dw, dt = list(iw), list(item_t), list(dw), list(dt)
-                pos = [x + k for x in around for k in (0, 16, 31)]
+                pos = [x + k for x in around for k in (*range(0, 32, min(16, int(len(iw) * 1.25) + 5)), 31)]
                 share, _ = best_passage(iw, dw, pos)
                 if share >= least - 1e-9:
                     rows.append((doc_id, item_id, round(share, 4), "verbatim"))

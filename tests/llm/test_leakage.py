@@ -61,3 +61,11 @@ def test_passage_is_local():
     spread = [x for w in item for x in (w, *["p"] * 10)]
     assert best_passage(item, spread, range(0, len(spread), 8))[0] < 0.3
     assert best_passage(item, ["p"] * 50 + item, range(0, 90, 8))[0] == 1.0
+
+
+def test_short_items(spark):
+    items = ["purge the relief line", "purge the relief line slowly", "drain every sump before noon", "check all nine bolts on this flange", "seal both ends of the long hose now", "name", ""]
+    docs = [(i, "some text before " * 3 + x + " and text behind" * 3, "") for i, x in enumerate(items)]
+    docs += [(10, "aa bb drain every sump cc dd", ""), (11, "x " * 5 + "seal both ends of the" + " y" * 40, ""), (12, "drain one, then every other", ""), (13, "k " * 19 + "drain k k every k k k k k sump", "")]
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, D), spark.createDataFrame([(i, x, "s") for i, x in enumerate(items)], I)).where("kind = 'verbatim'").collect()}
+    assert got == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (10, 2), (11, 4), (13, 2)}
