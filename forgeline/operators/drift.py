@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.session import sap_key, sequence_uploads, stripped
+from forgeline.session import sap_key, sequence_uploads, stripped, text
 
 
 def header_key(c: F.Column) -> F.Column:
@@ -67,7 +67,7 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(old: Node, new: Node, agreement, path: tuple[str, ...] = ()) -> tuple[float, list[tuple]]:
+def edit_script(old: Node, new: Node, agreement, path: tuple[str, ...] = (), was: tuple[str, ...] = ()) -> tuple[float, list[tuple]]:
     """Constrained edit distance of two unordered schema trees and a script of minimum cost.
 
     Children of matched nodes are matched with each other by an optimal assignment. Adding or deleting a subtree
@@ -75,6 +75,7 @@ def edit_script(old: Node, new: Node, agreement, path: tuple[str, ...] = ()) ->
     ``2 * (1 - agreement(old path, new path))`` more, so it is chosen over delete + add when the contents agree
     on more than nothing, and is forbidden where agreement is 0. Script entries: ("add" | "delete", path),
     ("rename", old path, new path), ("move", old path, new path), ("retype", path, old kind, new kind).
+    ``path`` and ``was`` are the new and the old path of the two nodes; they differ within renamed objects.
     """
     script: list[tuple] = []
     a, b = sorted(old.children, key=lambda x: x.name), sorted(new.children, key=lambda x: x.name)
@@ -82,13 +83,13 @@ def edit_script(old: Node, new: Node, agreement, path: tuple[str, ...] = ()) ->
     n = len(a) + len(b)
     if n:
         big = 1e6
-        sub = [[edit_script(x, y, agreement, path + (y.name,)) for y in b] for x in a]
+        sub = [[edit_script(x, y, agreement, path + (y.name,), was + (x.name,)) for y in b] for x in a]
         cost = [[big] * n for _ in range(n)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 if x.name == y.name:
                     cost[i][j] = sub[i][j][0]
-                elif (s := agreement(path + (x.name,), path + (y.name,))) > 0:
+                elif (s := agreement(was + (x.name,), path + (y.name,))) > 0:
                     cost[i][j] = sub[i][j][0] + 2 * (1 - s)
             cost[i][len(b) + i] = x.size()
         for j, y in enumerate(b):
@@ -100,11 +101,11 @@ def edit_script(old: Node, new: Node, agreement, path: tuple[str, ...] = ()) ->
             j = pick[i]
             total += cost[i][j]
             if j >= len(b):
-                script.append(("delete", path + (x.name,)))
+                script.append(("delete", was + (x.name,)))
                 continue
             y = b[j]
             if x.name != y.name:
-                script.append(("rename", path + (x.name,), path + (y.name,)))
+                script.append(("rename", was + (x.name,), path + (y.name,)))
             if x.kind != y.kind and "null" not in (x.kind, y.kind):
                 script.append(("retype", path + (y.name,), x.kind, y.kind))
             script += sub[i][j][1]
@@ -155,6 +156,24 @@ def json_kind(v: F.Column) -> F.Column:
     return F.when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "list").when(s.startswith("OBJECT"), "object").otherwise("number")
 
 
+def canonical_value(v: F.Column) -> F.Column:
+    """What a value says, whatever its kind and notation: numbers without thousands separators, leading and trailing
+    zeros, dates as YYYYMMDD, yes and no as true and false, lists without brackets, quotes and kind of separator."""
+    t = F.lower(F.btrim(v.cast("string")))
+    day_first, year_first = r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})(?:[t ].*)?$", r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?:[t ].*)?$"
+    two = lambda p, i: F.lpad(F.regexp_extract(t, p, i), 2, "0")
+    plain = F.when(t.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?$"), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
+    number = plain.try_cast("double").cast("string")
+    return (
+        F.when(t.rlike(day_first), F.concat(F.regexp_extract(t, day_first, 3), two(day_first, 2), two(day_first, 1)).try_cast("double").cast("string"))
+        .when(t.rlike(year_first), F.concat(F.regexp_extract(t, year_first, 1), two(year_first, 2), two(year_first, 3)).try_cast("double").cast("string"))
+        .when(number.isNotNull(), number)
+        .when(t.isin("true", "y", "yes"), "true")
+        .when(t.isin("false", "n", "no"), "false")
+        .otherwise(F.regexp_replace(F.regexp_replace(t, r'[\[\]"\s]+', ""), "[;|]", ","))
+    )
+
+
 @dataclass
 class Upload:
     upload_id: str
@@ -174,7 +193,7 @@ class Drift:
     def __init__(self, materials: DataFrame, uploads: DataFrame, max_profile: int = 200_000, min_agreement: float = 0.5):
         self.min_agreement = min_agreement
         ups = sequence_uploads(uploads)
-        rows = materials.select("upload_id", "raw_data").join(ups.select("upload_id"), "upload_id")
+        rows = materials.select(text("upload_id").alias("upload_id"), "raw_data")
         profile, level, nested = [], fields_of(rows, "raw_data", "upload_id"), True
         while nested:
             part = level.groupBy("upload_id", "path", "header", "kind").agg(F.count(F.lit(1)).alias("n")).limit(max_profile + 1).collect()
@@ -187,9 +206,14 @@ class Drift:
                 level = fields_of(objects, "o", "upload_id", "parent").withColumn("path", F.concat("parent", F.lit(SEP), "path")).drop("parent")
         self.materials, self.ups = materials, ups
         self.uploads: list[Upload] = []
+        found: dict[str, list] = {}
+        for r in profile:
+            found.setdefault(r.upload_id, []).append(r)
         for u in ups.orderBy("source_system", "seq").collect():
-            mine = [r for r in profile if r.upload_id == u.upload_id]
+            mine = found.pop(u.upload_id, [])
             self.uploads.append(Upload(u.upload_id, u.source_system, u.seq, self._tree(mine), self._spellings(mine)))
+        # rows of uploads that are not listed are compared with nothing, but read like all others
+        self.unlisted = [Upload(k, "", 0, self._tree(mine), self._spellings(mine)) for k, mine in sorted(found.items())]
         self.scripts: dict[str, list[tuple]] = {}
         agree = self._agreement()
         for a, b in self.pairs():
@@ -218,18 +242,24 @@ class Drift:
                 out[r.path].append(r.header)
         return {k: sorted(v) for k, v in out.items()}
 
+    @classmethod
+    def _paths(cls, node: Node, at: tuple[str, ...] = ()) -> set[str]:
+        """Paths of all fields below a node, joined by SEP."""
+        return {p for c in node.children for p in ({SEP.join((*at, c.name))} | cls._paths(c, (*at, c.name)))}
+
     def pairs(self) -> list[tuple[Upload, Upload]]:
         return [(a, b) for a, b in zip(self.uploads, self.uploads[1:]) if a.source == b.source]
 
     def _agreement(self) -> dict[tuple[str, str, str], float]:
-        """Agreement beyond chance (Cohen's kappa) of each gone and each new top-level field on the same records.
+        """Agreement beyond chance (Cohen's kappa) of each gone and each new field on the same records.
 
-        Values are compared on records of one key (sap_no, plant) that both uploads hold once; only the fields in
-        question are read. The counts come back as one row per pair of fields and value bucket.
+        Canonical values are compared, as a field may change its notation with its name, on records of one key
+        (sap_no, plant) that both uploads hold once; only the fields in question are read, nested ones level by
+        level. The counts come back as one row per pair of fields and value bucket.
         """
         gone, came = [], []
         for a, b in self.pairs():
-            x, y = {c.name for c in a.tree.children}, {c.name for c in b.tree.children}
+            x, y = self._paths(a.tree), self._paths(b.tree)
             if x - y and y - x:
                 gone += [(a.upload_id, b.upload_id, f) for f in sorted(x - y)]
                 came += [(b.upload_id, b.upload_id, f) for f in sorted(y - x)]
@@ -240,10 +270,16 @@ class Drift:
         schema = "upload_id string, pair string, path string"
 
         def side(wanted: list, name: str) -> DataFrame:
-            w = spark.createDataFrame(wanted, schema)
-            few = keyed.join(F.broadcast(w.select("upload_id").distinct()), "upload_id")  # a handful of uploads
-            vals = fields_of(few, "raw_data", "upload_id", "k", "p").where("kind not in ('null', 'object')").join(F.broadcast(w), ["upload_id", "path"])
-            one = vals.select("pair", "k", "p", F.col("path").alias(name), F.xxhash64(F.btrim(F.col("value").cast("string"))).alias("h"))
+            w = spark.createDataFrame(wanted, schema)  # local rows, whose size Catalyst knows
+            few = keyed.join(w.select("upload_id").distinct(), "upload_id")
+            level = fields_of(few, "raw_data", "upload_id", "k", "p")
+            vals = level
+            for _ in range(max(p.count(SEP) for *_, p in wanted)):
+                objects = level.where("kind = 'object'").select("upload_id", "k", "p", F.col("path").alias("parent"), F.col("value").cast("string").alias("o"))
+                level = fields_of(objects, "o", "upload_id", "k", "p", "parent").withColumn("path", F.concat("parent", F.lit(SEP), "path")).drop("parent")
+                vals = vals.unionByName(level)
+            vals = vals.where("kind <> 'null'").join(w, ["upload_id", "path"])
+            one = vals.select("pair", "k", "p", F.col("path").alias(name), F.xxhash64(canonical_value(F.col("value"))).alias("h"))
             return one.groupBy("pair", "k", "p", name).agg(F.min("h").alias(f"{name}_h"), F.max("h").alias("top")).where(f"{name}_h = top").drop("top")
 
         both = side(gone, "old").join(side(came, "new"), ["pair", "k", "p"])
@@ -282,34 +318,46 @@ class Drift:
         return out
 
     def unified(self) -> DataFrame:
-        """id, upload_id, source_system and one column per canonical field, lower case with underscores.
+        """id, upload_id, source_system, one column per canonical field (lower case with underscores), and ``_rest``.
 
-        The scripts become one projection for all files: each field is read under the headers that it has in the
-        row's own upload. A field is a double if it is a number in every upload (text that is no number becomes
-        null), boolean if boolean in every one, else a string; lists and objects keep their JSON text.
+        The scripts become one projection for all files: each row meets the list of headers under which its upload
+        has each field, a table of one row per upload, so the plan is as long as the fields and not the uploads.
+        A field is a double if it is a number in every upload, boolean if boolean in every one, else a string;
+        lists and objects keep their JSON text. Values that such a cast refuses stand in the map ``_rest`` under
+        the name of their column. Rows of uploads that are not listed stay, with an empty source_system.
         """
         names = self.canonical()
         kinds: dict[str, set[str]] = {}
-        spelled: dict[str, dict[str, list[str]]] = {}
-        for u in self.uploads:
+        read: list[tuple[str, str, dict[str, list[str]]]] = []
+        for u in [*self.uploads, *self.unlisted]:
+            headers: dict[str, list[str]] = {}
             for c in u.tree.children:
-                kinds.setdefault(names[u.upload_id, c.name], set()).add(c.kind)
-                for h in u.headers[c.name]:
-                    spelled.setdefault(names[u.upload_id, c.name], {}).setdefault(h, []).append(u.upload_id)
-        base = self.materials.select("id", "upload_id", F.from_json("raw_data", "map<string,string>").alias("__m")).join(self.ups.select("upload_id", "source_system"), "upload_id")
+                name = names.get((u.upload_id, c.name), c.name)
+                kinds.setdefault(name, set()).add(c.kind)
+                headers[name] = sorted({*headers.get(name, []), *u.headers[c.name]})
+            read.append((u.upload_id, u.source, headers))
+        spark = self.materials.sparkSession
+        how = spark.createDataFrame(read, "upload_id string, source_system string, __h map<string, array<string>>")
+        base = self.materials.select("id", text("upload_id").alias("upload_id"), F.from_json("raw_data", "map<string,string>").alias("__m")).join(how, "upload_id", "left")
         used: dict[str, str] = {}
-        for c in sorted(spelled):
+        for c in sorted(kinds):
             name = c.lower().replace(" ", "_") or "unnamed"
-            while name in used.values() or name in ("id", "upload_id", "source_system"):
+            while name in used.values() or name in ("id", "upload_id", "source_system", "_rest"):
                 name += "_"
             used[c] = name
-        cols = []
-        for c, by_header in sorted(spelled.items()):
-            v = F.coalesce(*[F.when(F.col("upload_id").isin(ups), F.col("__m")[h]) for h, ups in sorted(by_header.items())])
-            k = kinds[c] - {"null"}
-            v = v.try_cast("double") if k == {"number"} else v.try_cast("boolean") if k == {"boolean"} else v
-            cols.append(v.alias(used[c]))
-        return base.select("id", "upload_id", "source_system", *cols)
+        text_of, cols, refused = [], [], []
+        for c in sorted(kinds):
+            found = F.filter(F.transform(F.col("__h")[c], lambda h: F.col("__m")[h]), lambda x: x.isNotNull())
+            text_of.append(F.get(found, F.lit(0)).alias(used[c]))
+            k, v = kinds[c] - {"null"}, F.col(used[c])
+            to = "double" if k == {"number"} else "boolean" if k == {"boolean"} else None
+            cols.append(v.try_cast(to).alias(used[c]) if to else v)
+            if to:
+                refused.append(F.struct(F.lit(used[c]).alias("key"), F.when(v.try_cast(to).isNull(), v).alias("value")))
+        none = F.array().cast("array<struct<key:string,value:string>>")
+        rest = F.map_from_entries(F.filter(F.array(*refused) if refused else none, lambda e: e["value"].isNotNull()))
+        rows = base.select("id", "upload_id", text("source_system").alias("source_system"), *text_of)
+        return rows.select("id", "upload_id", "source_system", *cols, rest.alias("_rest"))
 
 
 def schema_changes(materials: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -26,6 +26,32 @@ def test_changes_and_unified(spark):
     assert t.where("id = '0-3'").select("storage_bin", "unit_price", "flag").first() == ("B3", "3.5", None)
 
 
+def test_renamed_with_another_notation(spark):
+    a = [{"Part": f"{i:012d}", "Made": f"{i + 1:02d}-03-2015", "Price": f"{i}.50", "Spare": i % 9 == 0, "Tags": ["a", f"b{i}"], "Sum": f"{i + 1},000"} for i in range(25)]
+    b = [{"No": str(i), "ERSDA": 20150300 + i + 1, "Cost": i + 0.5, "Critical": "Y" if i % 9 == 0 else "N", "Words": f"a; b{i}", "Total": (i + 1) * 1000} for i in range(25)]
+    m, u = tables(spark, a, b)
+    got = rows(schema_changes(m, u))
+    assert [g for g in got if g[2] != "retyped"] == [("u1", f, "renamed") for f in ("COST", "CRITICAL", "ERSDA", "NO", "TOTAL", "WORDS")]
+    assert {g[1] for g in got if g[2] == "retyped"} == {"COST", "CRITICAL", "ERSDA", "TOTAL", "WORDS"}
+
+
+def test_nested_rename(spark):
+    a = [{"Dim": {"Wall": i, "In": {"Q": f"x{i}"}}} for i in range(20)]
+    b = [{"Dim": {"Thickness": i, "In": {"R": f"x{i}"}}} for i in range(20)]
+    m, u = tables(spark, a, b)
+    assert rows(schema_changes(m, u)) == [("u1", "DIM/IN/R", "renamed"), ("u1", "DIM/THICKNESS", "renamed")]
+    m, u = tables(spark, a, [{"Size": r["Dim"]} for r in a])
+    assert rows(schema_changes(m, u)) == [("u1", "SIZE", "renamed")]
+
+
+def test_unified_keeps_refused_values_and_unlisted_rows(spark):
+    m, u = tables(spark, [{"Qty": i, "Ok": True} for i in range(5)] + [{"Qty": "about 7", "Ok": "maybe"}])
+    m = m.unionByName(spark.createDataFrame([("x1", "gone", "1", "P", '{"Qty": 3, "Extra": "e"}', ""), ("x2", None, "1", "P", '{"Qty": 2}', "")], MAT))
+    t = {r.id: r for r in unified_table(m, u).collect()}
+    assert len(t) == 8 and t["0-5"].qty is None and t["0-5"]["_rest"] == {"qty": "about 7", "ok": "maybe"} and t["0-1"]["_rest"] == {}
+    assert (t["x1"].qty, t["x1"].extra, t["x1"].source_system, t["x2"].upload_id) == (3.0, "e", "", "")
+
+
 def test_unrelated_flags_are_no_rename(spark):
     m, u = tables(spark, [{"A": i % 10 == 0} for i in range(200)], [{"B": (i // 7) % 10 == 0} for i in range(200)])
     assert rows(schema_changes(m, u)) == [("u1", "A", "removed"), ("u1", "B", "added")]
