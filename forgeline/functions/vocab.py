@@ -71,12 +71,13 @@ FALLBACK_SUBTYPES = [
     "HEXAGON", "LONG RADIUS", "SHORT RADIUS", "MALE", "FEMALE", "STRAIGHT", "MITRE", "HEAVY DUTY",
 ]
 # Words that are never a subtype, besides all words of the lists above.
-STOPWORDS = (
-    "AND FOR TYPE WITH PER THE NOS NOT USE SET ASS GEN MISC MISCELLANEOUS OTHER OTHERS GENERIC MATERIAL MATERIALS ITEM STANDARD DRAWING "
-    "MAKE SIZE CLASS GRADE LENGTH DEGREE DIAMETER THICKNESS OUTSIDE INSIDE WALL SCHEDULE RATING SPARE SPARES REPAIR KIT KITS ASSEMBLY "
-    "ASSEMBLIES INFORMATION ADDITIONAL SPECIFICATION PROCESS MANUFACTURING SURFACE TREATMENT CONNECTION PRESSURE NOMINAL MM CM IN INCH "
-    "INCHES DN NB NPS OD ID SCH DEG THK BAR PSI LB LBS CL PN KG MTR MTRS METER METRE NUMBER"
-).split()
+STOPWORDS = [
+    "AND", "FOR", "TYPE", "WITH", "PER", "THE", "NOS", "NOT", "USE", "SET", "ASS", "GEN", "MISC", "MISCELLANEOUS", "OTHER", "OTHERS", "GENERIC",
+    "MATERIAL", "MATERIALS", "ITEM", "STANDARD", "DRAWING", "MAKE", "SIZE", "CLASS", "GRADE", "LENGTH", "DEGREE", "DIAMETER", "THICKNESS", "OUTSIDE",
+    "INSIDE", "WALL", "SCHEDULE", "RATING", "SPARE", "SPARES", "REPAIR", "KIT", "KITS", "ASSEMBLY", "ASSEMBLIES", "INFORMATION", "ADDITIONAL",
+    "SPECIFICATION", "PROCESS", "MANUFACTURING", "SURFACE", "TREATMENT", "CONNECTION", "PRESSURE", "NOMINAL", "MM", "CM", "IN", "INCH", "INCHES",
+    "DN", "NB", "NPS", "OD", "ID", "SCH", "DEG", "THK", "BAR", "PSI", "LB", "LBS", "CL", "PN", "KG", "MTR", "MTRS", "METER", "METRE", "NUMBER",
+]
 
 TERM_LENGTHS = (3, 14)
 
@@ -164,16 +165,19 @@ def subtype_vocabulary(descriptions: Column, df: DataFrame, most: int = 20_000,
     return list(dict.fromkeys([*FALLBACK_SUBTYPES, *sorted(r.token for r in rows)]))
 
 
+def unescape_py(text: str) -> str:
+    return re.sub(r"<\(>|<\)>", "", re.sub(r"<\(>(.)<\)>", r"\1", text)) if "<" in text else text
+
+
 def expand_py(text: str) -> str:
     """``expand`` for one string, where a Python parser needs it."""
-    t = re.sub(r"<\(>|<\)>", "", re.sub(r"<\(>(.)<\)>", r"\1", text.upper()))
-    return re.sub("[A-Z]+", lambda m: ABBREVIATIONS.get(m[0], m[0]), t)
+    return re.sub("[A-Z]+", lambda m: ABBREVIATIONS.get(m[0], m[0]), unescape_py(text.upper()))
+
+
+_TYPE = re.compile(rf"(?<![A-Z])(?:{'|'.join(sorted(ITEM_TYPES, key=len, reverse=True))})(?![A-Z])")
 
 
 def item_type_py(text: str) -> str | None:
-    best = None
-    for rank, types in enumerate((SPECIFIC_TYPES, GENERIC_TYPES)):
-        for t in types:
-            if m := re.search(rf"(?<![A-Z]){t}(?![A-Z])", text):
-                best = min(best or (9, 0, 0, ""), (rank, m.start(), -len(t), t))
-    return best[3] if best else None
+    """``item_type_of`` for one string."""
+    found = [m[0] for m in _TYPE.finditer(text)]
+    return next((t for t in found if t not in GENERIC_TYPES), found[0] if found else None)

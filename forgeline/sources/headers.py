@@ -49,17 +49,17 @@ def resolve(headers: list[str]) -> dict[str, str]:
     return out
 
 
+# Of each group a file needs one column; what to call the group, and an example of a header.
+NEEDED = {"code": (["sap_no", "corporate_no"], "Material Number"), "description": (["short_description", "long_description"], "Short Description")}
+
+
 def validated(headers: list[str]) -> tuple[dict[str, str], list[str]]:
-    """The resolved columns and warnings; a ValueError if there is no code or no description."""
-    m = resolve(headers)
-    missing = []
-    if not {"sap_no", "corporate_no"} & m.keys():
-        missing.append("a material code column (such as SAP No or Material Number)")
-    if not {"short_description", "long_description"} & m.keys():
-        missing.append("a description column (such as Short Description)")
-    if missing:
-        raise ValueError(f"the file needs {' and '.join(missing)}; its columns are: {', '.join(h for h in headers if h)}")
-    return m, [] if "corporate_no" in m else ["there is no corporate number column"]
+    """The resolved columns and warnings; a ValueError names every group of which no column was found."""
+    found = resolve(headers)
+    lacking = [f"no material {what} column, e.g. {example!r}" for what, (fields, example) in NEEDED.items() if not any(f in found for f in fields)]
+    if lacking:
+        raise ValueError("; ".join([*lacking, f"found: {', '.join(filter(None, headers)) or 'nothing'}"]))
+    return found, [] if "corporate_no" in found else ["rows have no corporate number"]
 
 
 def search_column(headers: list[str]) -> str | None:
