@@ -7,14 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgeline.functions import scoring
-from forgeline.functions.parse import ATTRIBUTES, parsed
+from forgeline.functions.parse import ATTRIBUTES, parsed, spread
 from forgeline.functions.similarity import trigram_set, word_similarity_udf
-from forgeline.functions.vocab import lexemes, search_tokens
+from forgeline.functions.vocab import lexemes, search_tokens, subtype_vocabulary
 from forgeline.session import BLANKS, cut, sequence_uploads, stripped, text
 
 SHORT_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
 ARM_LIMIT, CODE_LIMIT, POOL_LIMIT = 360, 100, 120
 WORD_SIMILARITY = 0.6
+#: Postings of one term or trigram are split into one part per so many rows of the catalog.
+SALT_ROWS = 500_000
+#: Of a query's rarest trigrams, which every answer must share one of, so many more are read and must be shared.
+PREFIX_HITS = 4
 
 
 def active(status: Column) -> Column:
@@ -65,30 +69,63 @@ def parse_queries(queries: DataFrame, subtypes: list[str] | None = None) -> Data
     """query_id, query_text, code, attribute struct q, lexemes; texts of 3 to 2000 characters."""
     t = F.btrim(text("query_text"), F.lit(BLANKS))
     valid = queries.where("query_id is not null").select("query_id", t.alias("query_text")).where("length(query_text) between 3 and 2000")
-    return valid.select("query_id", "query_text", code_token(F.col("query_text")).alias("code"), parsed(F.col("query_text"), F.lit(""), subtypes, fuzzy=True).alias("q"), lexemes(search_tokens(F.col("query_text"))).alias("terms"))
+    return with_terms(spread(valid).select("query_id", "query_text", parsed(F.col("query_text"), F.lit(""), subtypes, fuzzy=True).alias("q")))
+
+
+def with_terms(asked: DataFrame) -> DataFrame:
+    """query_id, query_text and attribute struct q, with the code, the lexemes and the trigrams of the text."""
+    t = F.col("query_text")
+    return asked.select("query_id", "query_text", code_token(t).alias("code"), "q", lexemes(search_tokens(t)).alias("terms"), trigram_set(t).alias("grams"))
+
+
+def mined_subtypes(base: DataFrame) -> list[str]:
+    """The subtype vocabulary of the active rows, which goes into the parser of every query."""
+    return subtype_vocabulary(F.concat_ws(" ", "short_description", "class_name"), base.where("status_active"))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(W.partitionBy("query_id").orderBy(*order, F.col("id")))).where(F.col("__r") <= n).drop("__r")
 
 
+def _least_ids(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` rows with the least id of each key; Spark limits every group before the shuffle (WindowGroupLimit)."""
+    return df.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).where(F.col("__i") <= n).drop("__i")
+
+
 def code_arm(queries: DataFrame, base: DataFrame, n: int = CODE_LIMIT) -> DataFrame:
-    """Rows whose SAP or corporate number contains the code, found by its last four characters, then checked."""
+    """The ``n`` rows with the least id whose SAP or corporate number contains the code.
+
+    Rows of one number are limited first, so a placeholder on many rows costs no more than any other number; then
+    different numbers are found by the rarest four characters of the code. A code of four characters is itself
+    such a gram, which may stand in most numbers: of each gram only the ``n`` least ids can answer it.
+    """
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4))))
-    q = queries.where("code <> ''").select("query_id", "code", F.right("code", F.lit(4)).alias("g"))
-    corp = F.upper("corporate_no")
-    rows = base.select("id", "sap_no", corp.alias("corp"), F.explode(F.array_union(gram(F.col("sap_no")), gram(corp))).alias("g"))
-    hit = rows.join(q, "g").where(F.col("sap_no").contains(F.col("code")) | F.col("corp").contains(F.col("code")))
-    return top(hit.select("query_id", "id").distinct(), n)
+    asked = queries.where("length(code) >= 4").select("query_id", "code")
+    numbers = base.select("id", F.explode(F.array_distinct(F.array(F.col("sap_no"), F.upper("corporate_no")))).alias("number")).where("length(number) >= 4")
+    held = _least_ids(numbers, ["number"], n)
+    grams = held.select("number").distinct().select("number", F.explode(gram(F.col("number"))).alias("g"))
+    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.where("length(code) > 4").select("query_id", "code", F.explode(gram(F.col("code"))).alias("g")).join(often, "g")
+    rarest = rarest.groupBy("query_id", "code").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    long = grams.join(rarest, "g").where(F.col("number").contains(F.col("code"))).select("query_id", "number").join(held, "number").select("query_id", "id")
+    heads = _least_ids(held.select("id", F.explode(gram(F.col("number"))).alias("code")).distinct(), ["code"], n)
+    short = asked.where("length(code) = 4").join(heads, "code").select("query_id", "id")
+    return top(long.unionByName(short).distinct(), n)
 
 
 def indexed(base: DataFrame) -> DataFrame:
-    """The search columns of the rows: text in lower case, lexemes of the short description and of the whole text."""
+    """The search columns of the rows: text in lower case and its trigrams, lexemes of the short description and of the whole text."""
     if "search_doc" in base.columns:
         return base
     tokens = base.select("*", F.explode(F.array(search_tokens(F.col("short_description"), F.col("long_description"), F.col("class_name")))).alias("__t"))
     short = lexemes(search_tokens(F.col("short_description")))
-    return tokens.withColumns({"search_doc": F.lower(F.array_join("__t", " ")), "short_terms": short, "all_terms": lexemes(F.col("__t"))}).drop("__t")
+    doc = tokens.withColumns({"search_doc": F.lower(F.array_join("__t", " ")), "short_terms": short, "all_terms": lexemes(F.col("__t"))}).drop("__t")
+    return doc.withColumn("doc_grams", trigram_set(F.col("search_doc")))
+
+
+def searchable(base: DataFrame, *keep: str) -> DataFrame:
+    """The active rows with their search columns, written once, as every arm and the scoring read them."""
+    return cut(spread(indexed(base.where("status_active").select("id", *keep, "short_description", "long_description", "class_name"))))
 
 
 def raw_lexical(terms: Column, short: Column, whole: Column) -> Column:
@@ -96,38 +133,87 @@ def raw_lexical(terms: Column, short: Column, whole: Column) -> Column:
     return F.round(SHORT_WEIGHT * F.size(F.array_intersect(terms, short)) + TEXT_WEIGHT * F.size(F.array_intersect(terms, whole)), 6)
 
 
-def lexical_scores(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """query_id, id, raw_lexical of every row that shares a term with the query, through a join of postings."""
-    rows = indexed(base).select("id", "short_terms", F.explode("all_terms").alias("term"))
-    posts = rows.select("id", "term", (F.lit(TEXT_WEIGHT) + F.when(F.array_contains("short_terms", F.col("term")), SHORT_WEIGHT).otherwise(0.0)).alias("w"))
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
-    return posts.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("raw_lexical"))
+def _salted(postings: DataFrame, asked: DataFrame, key: str, rows: int) -> DataFrame:
+    """The join of postings and queries on ``key``, whose frequent values are split over one part per SALT_ROWS rows."""
+    parts = max(1, -(-rows // SALT_ROWS))
+    salt = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    return postings.withColumn("__s", salt).join(asked.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [key, "__s"]).drop("__s")
+
+
+def lexical_top(queries: DataFrame, base: DataFrame, n: int = ARM_LIMIT) -> DataFrame:
+    """query_id, id, raw_lexical of the ``n`` best rows of each query; ties go to the smaller id.
+
+    Terms are read from the rarest on. First the rows of as many terms as hold about 4 n postings are scored, which
+    gives a bound that the n-th best reaches. A term is read beyond that only if a row that has no rarer term of
+    the query could still reach the bound with it and all more frequent ones, so words that stand in half the
+    catalog are hardly ever read. Nothing is lost: what is left out scores less than n rows that were found.
+    """
+    docs = base.select("id", "short_terms", "all_terms")
+    rows = docs.count()
+    posts = docs.select("id", F.explode("all_terms").alias("term"), "short_terms")
+    posts = posts.select("id", "term", (F.lit(TEXT_WEIGHT) + F.when(F.array_contains("short_terms", F.col("term")), SHORT_WEIGHT).otherwise(0.0)).alias("w"))
+    often = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
+    by = W.partitionBy("query_id").orderBy("df", "term")
+    behind = by.rowsBetween(0, W.unboundedFollowing)  # this term and the more frequent ones
+    asked = queries.select("query_id", F.explode("terms").alias("term")).join(often, "term")
+    asked = asked.select("query_id", "term", (F.sum("df").over(by) - F.col("df") < 4 * n).alias("first"), F.sum("most").over(behind).alias("reach"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(docs, "id").join(queries.select("query_id", "terms"), "query_id")
+        return both.select("query_id", "id", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")).alias("raw_lexical"))
+
+    hits = lambda terms: _salted(posts.select("id", "term"), terms.select("query_id", "term"), "term", rows).select("query_id", "id").distinct()
+    best = F.col("raw_lexical").desc()
+    early = cut(top(scored(hits(asked.where("first"))), n, best))
+    bound = early.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= n, F.min("raw_lexical")).otherwise(0.0).alias("bound"))
+    more = asked.where("not first").join(bound, "query_id", "left").where(F.col("reach") + 1e-6 >= F.coalesce("bound", F.lit(0.0)))
+    late = scored(hits(more).join(early, ["query_id", "id"], "left_anti"))
+    return top(early.unionByName(late), n, best)
 
 
 def trigram_scores(queries: DataFrame, base: DataFrame, least: float = WORD_SIMILARITY) -> DataFrame:
-    """query_id, id, fuzzy_score >= least. Shared trigrams over the query's bound the similarity from above."""
-    docs = indexed(base).select("id", "search_doc")
-    posts = docs.select("id", F.explode(trigram_set(F.col("search_doc"))).alias("t"))
-    grams = queries.select("query_id", F.explode(F.array(trigram_set(F.col("query_text")))).alias("ts"))
-    asked = grams.select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    shared = posts.join(asked, "t").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).where(F.col("s") >= F.col("n") * least)
-    pairs = shared.join(queries.select("query_id", "query_text"), "query_id").join(docs, "id")
+    """query_id, id, fuzzy_score of every row with a word similarity of ``least`` or more.
+
+    Shared trigrams over the query's bound the similarity from above, so a row must share ``need`` of them and thus
+    PREFIX_HITS of the query's rarest n - need + PREFIX_HITS. Only these postings are read; what shares enough of
+    them is counted exactly on the rows' trigram sets, and what is left is compared.
+    """
+    docs = base.select("id", "search_doc", "doc_grams")
+    posts = docs.select("id", F.explode("doc_grams").alias("g"))
+    often = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    n = F.size("grams")
+    need = F.ceil(n * least - 1e-9)
+    asked = queries.where(n > 0).select("query_id", "query_text", "grams", need.alias("need"), F.least(n, n - need + PREFIX_HITS).alias("prefix"))
+    order = W.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "g")
+    rare = asked.select("query_id", "prefix", (F.col("prefix") - n + F.col("need")).alias("hits"), F.explode("grams").alias("g")).join(often, "g", "left")
+    rare = rare.withColumn("r", F.row_number().over(order)).where("r <= prefix and df is not null").select("query_id", "hits", "g")
+    found = _salted(posts, rare, "g", docs.count()).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("s"), F.first("hits").alias("hits")).where("s >= hits").select("query_id", "id")
+    pairs = found.join(docs, "id").join(asked.select("query_id", "query_text", "grams", "need"), "query_id").where(F.size(F.array_intersect("doc_grams", "grams")) >= F.col("need"))
     return pairs.select("query_id", "id", word_similarity_udf(F.lower("query_text"), F.col("search_doc")).alias("fuzzy_score")).where(F.col("fuzzy_score") >= least)
 
 
 def attribute_arm(queries: DataFrame, base: DataFrame, n: int = ARM_LIMIT) -> DataFrame:
-    """Rows of the asked item type; with a size, only those within a millimetre."""
+    """The ``n`` rows with the least id of the asked item type; with a size, only those within a millimetre.
+
+    Of each type and size only the ``n`` least ids can answer, which Spark finds before the shuffle. Queries with a
+    size meet them by type and whole millimetre, three of which hold all that is near enough; queries without one
+    meet the ``n`` least ids of the type.
+    """
     q = queries.select("query_id", F.col("q.itemType").alias("item_type"), F.col("q.sizeMm").alias("size")).where("item_type is not null")
-    rows = base.select("id", "item_type", F.col("attrs.sizeMm").alias("mm")).join(q, "item_type")
-    return top(rows.where(F.col("size").isNull() | (F.abs(F.col("mm") - F.col("size")) <= 1)).select("query_id", "id"), n)
+    heads = _least_ids(base.select("id", "item_type", F.col("attrs.sizeMm").alias("mm")), ["item_type", "mm"], n)
+    band = F.floor("mm").cast("long")
+    sized = q.where("size is not null").select("query_id", "item_type", "size", F.explode(F.sequence(F.floor("size").cast("long") - 1, F.floor("size").cast("long") + 1)).alias("band"))
+    near = heads.where("mm is not null").withColumn("band", band).join(sized, ["item_type", "band"]).where(F.abs(F.col("mm") - F.col("size")) <= 1)
+    free = _least_ids(heads, ["item_type"], n).join(q.where("size is null"), "item_type")
+    return top(near.select("query_id", "id").unionByName(free.select("query_id", "id")), n)
 
 
-def pooled(queries: DataFrame, base: DataFrame, lexical: DataFrame, trigram: DataFrame) -> DataFrame:
-    """query_id, id and a flag per arm that found the row."""
+def pooled(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """query_id, id and a flag per arm that found the row; ``base`` as ``searchable`` gives it."""
     arms = {
         "code_arm": code_arm(queries, base),
-        "lexical_arm": top(lexical, ARM_LIMIT, F.col("raw_lexical").desc()),
-        "trigram_arm": top(trigram, ARM_LIMIT, F.col("fuzzy_score").desc()),
+        "lexical_arm": lexical_top(queries, base),
+        "trigram_arm": top(trigram_scores(queries, base), ARM_LIMIT, F.col("fuzzy_score").desc()),
         "attribute_arm": attribute_arm(queries, base),
     }
     parts = [df.select("query_id", "id", *[F.lit(int(a == name)).alias(a) for a in arms]) for name, df in arms.items()]
@@ -142,24 +228,31 @@ def plants_of(base: DataFrame) -> DataFrame:
     return base.groupBy("corporate_no", "sap_no").agg(F.array_sort(F.collect_set(F.nullif("plant", F.lit("")))).alias("plants"))
 
 
+CANDIDATE_COLUMNS = ["corporate_no", "sap_no", "plant", "status", "item_type", "procurement_rank", "updated_at", "attrs"]
+
+
 def candidates(queries: DataFrame, base: DataFrame, n: int = POOL_LIMIT) -> DataFrame:
     """The best ``n`` materials per query by exact match, attribute, lexical and fuzzy score, one row each.
 
-    Scoring runs on narrow columns; descriptions are joined by the caller. Of a material's rows the one with the
-    best status stays, then the latest, then the least id.
+    Of a material's rows the one with the best status stays, then the latest, then the least id. The word
+    similarity, the one score that is no built-in expression, is computed only for rows that can be among the
+    best: the shared trigrams bound it from above, and ``n`` rows must not do better without it.
     """
-    cols = ["id", "corporate_no", "sap_no", "plant", "class_name", "short_description", "long_description", "status", "item_type", "procurement_rank", "updated_at", "attrs"]
-    # read by every arm and by the scoring: narrow columns and their search columns, written once
-    base = cut(indexed(base.where("status_active").select(*cols)))
-    queries = cut(queries)
-    pool = pooled(queries, base, lexical_scores(queries, base), trigram_scores(queries, base))
+    base, queries = searchable(base, *CANDIDATE_COLUMNS), cut(queries)
+    pool = pooled(queries, base)
     rows = pool.select("query_id", "id").join(base, "id").join(queries, "query_id")
-    rows = rows.withColumn("fuzzy_score", word_similarity_udf(F.lower("query_text"), F.col("search_doc"))).withColumn("raw_lexical", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")))
-    rows = rows.drop("search_doc", "short_terms", "all_terms", "terms")
+    rows = rows.withColumn("raw_lexical", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")))
+    rows = rows.withColumn("__most", F.coalesce(F.size(F.array_intersect("doc_grams", "grams")) / F.nullif(F.size("grams"), F.lit(0)), F.lit(0.0)))
+    rows = rows.drop("short_terms", "all_terms", "terms", "doc_grams", "grams")
     code = (F.col("code") != "") & ((F.col("sap_no") == F.col("code")) | (F.upper("corporate_no") == F.col("code")))
     eng = scoring.engineering_score(F.col("q.itemType"), F.col("q.sizeMm"), F.col("q.subtypes"), F.coalesce("q.connection", F.lit("")), F.coalesce("q.pressureClass", F.lit("")), F.col("item_type"), F.col("attrs"))
     scored = rows.withColumn("exact_match", code | (F.lower("short_description") == F.lower("query_text"))).withColumn("lexical_score", scoring.squashed(F.col("raw_lexical")))
-    final = F.when(F.col("exact_match"), 10.0).otherwise(0.45 * eng + 0.30 * F.col("lexical_score") + 0.25 * F.col("fuzzy_score"))
     one = W.partitionBy("query_id", "corporate_no", "sap_no").orderBy("procurement_rank", F.col("updated_at").desc_nulls_last(), "id")
-    best = scored.withColumn("final_score", final).withColumn("__m", F.row_number().over(one)).where("__m = 1").drop("__m")
-    return top(best, n, F.col("final_score").desc(), F.col("procurement_rank")).join(plants_of(base), ["corporate_no", "sap_no"], "left")
+    best = scored.withColumn("__eng", eng).withColumn("__m", F.row_number().over(one)).where("__m = 1").drop("__m")
+    final = lambda fuzzy: F.when(F.col("exact_match"), 10.0).otherwise(0.45 * F.col("__eng") + 0.30 * F.col("lexical_score") + 0.25 * fuzzy)
+    place = W.partitionBy("query_id").orderBy(F.col("__low").desc())
+    able = best.withColumn("__low", final(F.lit(0.0))).withColumn("__p", F.row_number().over(place))
+    able = able.withColumn("__bar", F.max(F.when(F.col("__p") == n, F.col("__low"))).over(W.partitionBy("query_id")))
+    able = able.where(F.col("__bar").isNull() | (final(F.col("__most")) + 1e-9 >= F.col("__bar"))).drop("__low", "__p", "__bar", "__most")
+    full = able.withColumn("fuzzy_score", word_similarity_udf(F.lower("query_text"), F.col("search_doc"))).drop("search_doc").withColumn("final_score", final(F.col("fuzzy_score"))).drop("__eng")
+    return top(full, n, F.col("final_score").desc(), F.col("procurement_rank")).join(plants_of(base), ["corporate_no", "sap_no"], "left")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgeline.functions.vocab import FRACTIONS
+
 # Directed conversions (from, to, factor, offset): to = from * factor + offset.
 CONVERSIONS = [
     ("INCH", "CM", 2.54, 0.0),
@@ -175,10 +177,6 @@ def _spoken(c: Column) -> Column:
     return F.when(c != "", F.aggregate(F.split(c, r"[ \-]+"), zero, step, lambda a: a["total"] + a["now"]))
 
 
-# Fractions that are one character.
-FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
-
-
 def spelled_out(c: Column) -> Column:
     """Texts with fraction characters (few) with these written out: 1½ as 1-1/2."""
     out = F.regexp_replace(c, f"(?<=[0-9])(?=[{''.join(FRACTIONS)}])", "-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgeline.functions import parse, scoring, vocab
+from forgeline.functions import parse, vocab
 from forgeline.functions.similarity import nearest_of_all
 from forgeline.operators import analytics as an
 from forgeline.operators import evaluate, match, retrieve
@@ -22,7 +22,12 @@ def _base(spark, d):
 
 
 def _asked(spark, d):
-    return retrieve.parse_queries(read(spark, d, "search_queries"))
+    return retrieve.parse_queries(read(spark, d, "search_queries"), retrieve.mined_subtypes(_base(spark, d)))
+
+
+def _texts(spark, d):
+    """The queries without their attributes, for what reads only the text."""
+    return retrieve.with_terms(read(spark, d, "search_queries").select("query_id", text("query_text").alias("query_text"), F.lit(None).alias("q")).where("query_id is not null"))
 
 
 def dash_status(spark, d):
@@ -129,49 +134,70 @@ def material_dedupe(spark, d):
 
 
 def code_queries(spark, d):
-    """The codes of the catalog asked for as queries: every provisional number, and the shortest suffix searched."""
+    """The codes of the catalog asked for as queries: every SAP and corporate number (numeric, provisional, letter
+    and digits, the placeholder), and the last four characters of each."""
     base = _base(spark, d)
-    codes = base.where("sap_no like 'NIR-%'").select(F.xxhash64("sap_no").alias("query_id"), F.col("sap_no").alias("query_text")).distinct()
-    return codes.select("query_id", "query_text", retrieve.code_token(F.col("query_text")).alias("code"))
+    numbers = base.select(F.explode(F.array("sap_no", "corporate_no")).alias("query_text")).distinct()
+    asked = numbers.unionByName(numbers.select(F.right("query_text", F.lit(4)).alias("query_text"))).distinct()
+    return asked.select(F.xxhash64("query_text").alias("query_id"), "query_text", retrieve.code_token(F.col("query_text")).alias("code"))
 
 
 def code_lookup(spark, d):
-    base = _base(spark, d)
-    hits = retrieve.code_arm(code_queries(spark, d), base)
-    return hits.join(code_queries(spark, d).select("query_id", "query_text"), "query_id").select("query_text", "id")
+    asked = code_queries(spark, d)
+    return retrieve.code_arm(asked, _base(spark, d)).join(asked.select("query_id", "query_text"), "query_id").select("query_text", "id")
+
+
+def _records(spark, d):
+    """Every material of the catalog whose number is divisible by 20, as a query by its own text and attribute record."""
+    rows = _base(spark, d).where("status_active and int(substring(id, 2)) % 20 = 0 and length(btrim(short_description)) between 3 and 2000")
+    return retrieve.with_terms(rows.select(F.expr("bigint(substring(id, 2))").alias("query_id"), F.btrim("short_description").alias("query_text"), F.col("attrs").alias("q")))
 
 
 def attr_lookup(spark, d):
-    return retrieve.attribute_arm(_asked(spark, d), _base(spark, d).where("status_active"))
+    return retrieve.attribute_arm(_records(spark, d), _base(spark, d).where("status_active"))
 
 
 def lexical_topk(spark, d):
-    s = retrieve.lexical_scores(_asked(spark, d), _base(spark, d).where("status_active"))
-    return retrieve.top(s, 20, F.col("raw_lexical").desc())
+    return retrieve.lexical_top(_texts(spark, d), retrieve.searchable(_base(spark, d)), 20)
 
 
 def trigram_topk(spark, d):
-    s = retrieve.trigram_scores(_asked(spark, d), _base(spark, d).where("status_active"))
+    s = retrieve.trigram_scores(_texts(spark, d), retrieve.searchable(_base(spark, d)))
     return retrieve.top(s, 20, F.col("fuzzy_score").desc())
 
 
 def arm_union(spark, d):
-    base, q = _base(spark, d).where("status_active"), _asked(spark, d)
-    return retrieve.pooled(q, base, retrieve.lexical_scores(q, base), retrieve.trigram_scores(q, base))
+    return retrieve.pooled(_records(spark, d), retrieve.searchable(_base(spark, d), "corporate_no", "sap_no", "item_type", "attrs"))
+
+
+def _six(c):
+    """Six decimals; what lies on the half but for the last bits goes up."""
+    return F.floor(c * 1e6 + 0.5001) / 1e6
 
 
 def candidates_top(spark, d):
-    return retrieve.candidates(_asked(spark, d), _base(spark, d)).select("query_id", "id", "final_score", "exact_match", F.array_join("plants", ",").alias("plants"))
+    c = retrieve.candidates(_records(spark, d), _base(spark, d))
+    return c.select("query_id", "id", _six(F.col("final_score")).alias("final_score"), "exact_match", F.array_join("plants", ",").alias("plants"))
+
+
+def engineering_score(spark, d):
+    """The attribute score of each candidate of each record searched for."""
+    from forgeline.functions import scoring
+
+    c = retrieve.candidates(_records(spark, d), _base(spark, d))
+    eng = scoring.engineering_score(F.col("q.itemType"), F.col("q.sizeMm"), F.col("q.subtypes"), F.coalesce("q.connection", F.lit("")), F.coalesce("q.pressureClass", F.lit("")), F.col("item_type"), F.col("attrs"))
+    return c.select("query_id", "id", _six(eng).alias("score"))
 
 
 def parse_full(spark, d):
-    m = read(spark, d, "materials")
-    return m.select("id", parse.parsed(F.concat_ws("\n", "short_description", "long_description"), text("class_name")).alias("a")).select("id", "a.*")
+    m = parse.spread(read(spark, d, "materials").select("id", F.concat_ws("\n", "short_description", "long_description").alias("t"), text("class_name").alias("c")))
+    return m.select("id", parse.parsed(F.col("t"), F.col("c")).alias("a")).select("id", "a.*")
 
 
-def parse_schedule(spark, d):
-    s = F.regexp_extract(F.upper(text("short_description")), r"\bSCH(?:EDULE)?(?:\s*RATING)?\s*[-:]?\s*(XXS|XS|STD|\d{1,3}\s*S?)\b", 1)
-    return read(spark, d, "materials").select("id", F.when(s != "", F.concat(F.lit("SCH "), F.regexp_replace(s, r"\s+", ""))).alias("schedule"))
+def parse_rules(spark, d):
+    """What the parser finds by rule and by exact vocabulary, which SQL can express too."""
+    a = parse_full(spark, d)
+    return a.select("id", "itemType", F.array_join("subtypes", ",").alias("subtypes"), "sizeDisplay", "schedule", "angleDeg", "pressureClass", "connection", "faceToFaceMm", F.array_join("standards", ",").alias("standards"), "actuation")
 
 
 def search_batch(spark, d):
@@ -184,8 +210,14 @@ def match_explain(spark, d):
 
 
 def shortlist(spark, d):
-    s = match.shortlist(retrieve.candidates(_asked(spark, d), _base(spark, d)), 10)
-    return s.select("query_id", "id", "position", F.round("shortlist_score", 6).alias("shortlist_score"))
+    s = match.shortlist(retrieve.candidates(_records(spark, d), _base(spark, d)), 10)
+    return s.select("query_id", "id", "position", _six(F.col("shortlist_score")).alias("shortlist_score"))
+
+
+def search_records(spark, d):
+    """The whole search, from given attribute records to ranked and explained matches."""
+    m = match.ranked(match.shortlist(retrieve.candidates(_records(spark, d), _base(spark, d)), 10))
+    return m.select("query_id", "rank", "id", "confidence", "parametric_score", "semantic_score", "lexical_score", "exact_match", "blocked", F.array_join("mismatches", " | ").alias("differences"))
 
 
 def cosine_topk(spark, d):
@@ -200,7 +232,7 @@ def event_props(spark, d):
 
 def search_items(spark, d):
     """Free text split into items: lines of three characters or more, each once per query."""
-    lines = F.explode(F.split(text("query_text"), r"[\r\n;]+")).alias("line")
+    lines = F.explode(F.split(text("query_text"), r"[\r\n]+")).alias("line")
     return read(spark, d, "search_queries").select("query_id", lines).select("query_id", F.trim("line").alias("item")).where("length(item) >= 3").distinct()
 
 
@@ -219,7 +251,7 @@ QUERIES = {
         dash_status, dash_summary, dash_class_quality, dash_plant_health, dash_type, dash_coverage, dash_quality, dash_readiness_tiers, dup_descriptions,
         dup_documents, len_buckets, created_year, gap_patterns, sap_maturity, stats, expand_abbrev, search_text, item_type, vocab_df, class_rule,
         import_dedupe, embedding_carryover, procurement_rank, plants_per_material, material_dedupe, code_lookup, attr_lookup, lexical_topk, trigram_topk,
-        arm_union, candidates_top, parse_full, parse_schedule, search_batch, match_explain, shortlist, cosine_topk, event_props, search_items,
+        arm_union, candidates_top, engineering_score, parse_full, parse_rules, search_batch, search_records, match_explain, shortlist, cosine_topk, event_props, search_items,
         current_version, eval_recall,
     )
 }

@@ -20,6 +20,8 @@ CASES = [
     ('GASKET 4", CNAF', {"sizeMm": 101.6}),
     ("DUCT 0.125IN", {"sizeMm": 3.17}),  # the exact binary value lies under the half
     ("STRAINER 25 MM", {"sizeMm": 25}),
+    ("SIZE: ¼ INCHES", {"sizeMm": 6.35, "sizeDisplay": "1/4IN"}),
+    ('NIPPLE 1½"', {"sizeMm": 38.1, "sizeDisplay": "1-1/2IN"}),
     ("BORE: DN25 INCLUDES SCREWS", {"sizeMm": 25, "sizeDisplay": "25MM"}),
     ("NUT M12", {"sizeMm": None, "sizeDisplay": None}),
     ("PIPE 0/0IN", {"sizeMm": None}),
