@@ -123,7 +123,7 @@ SELECT id, coalesce(CASE WHEN (SELECT count(DISTINCT src) FROM r) > 1 THEN src E
     "procurement_rank": f"SELECT id, {RANK.format(s='status')} AS procurement_rank, {ACTIVE.format(s='status')} AS is_active, upper(coalesce(status, '')) LIKE '%BLOCKED%' AS is_blocked FROM materials",
     "plants_per_material": f"SELECT coalesce(corporate_no, '') AS corporate_no, trim(coalesce(sap_no, '')) AS sap_no, coalesce(array_to_string(list_sort(list_distinct(list(trim(plant)) FILTER (trim(plant) <> ''))), ','), '') AS plants FROM ({_BASE}) GROUP BY 1, 2",
     "material_dedupe": f"SELECT coalesce(corporate_no, '') AS corporate_no, trim(coalesce(sap_no, '')) AS sap_no, id, {RANK.format(s='status')} AS procurement_rank FROM ({_BASE}) QUALIFY row_number() OVER (PARTITION BY coalesce(corporate_no, ''), trim(coalesce(sap_no, '')) ORDER BY {RANK.format(s='status')}, updated_at DESC NULLS LAST, id) = 1",
-    "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS sim FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
+    "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, least(1, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 10",
     "event_props": "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k_sum, max(json_extract_string(props, '$.k')::BIGINT) AS k_max FROM events GROUP BY 1",
     "search_items": "SELECT DISTINCT query_id, item FROM (SELECT query_id, trim(unnest(regexp_split_to_array(coalesce(query_text, ''), '[\\r\\n]+'))) AS item FROM search_queries) WHERE length(item) >= 3",
     "current_version": "SELECT id AS upload_id, upper(trim(source_system)) AS source_system, row_number() OVER (PARTITION BY upper(trim(source_system)) ORDER BY created_at NULLS FIRST, id) AS seq, row_number() OVER (PARTITION BY upper(trim(source_system)) ORDER BY created_at DESC NULLS LAST, id DESC) = 1 AS is_current FROM material_uploads",
