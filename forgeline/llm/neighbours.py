@@ -34,18 +34,25 @@ def nearest(x: np.ndarray, c: np.ndarray, block: int = 4096) -> np.ndarray:
 
 @dataclass
 class AdditiveQuantiser:
-    """A vector is the sum of one codeword of each full-dimensional codebook; the first codebook also names cells."""
+    """A vector is the sum of one codeword of each full-dimensional codebook; the first codebook, or where more cells
+    are wanted than it can have words the first two together, also names cells."""
 
     books: list[np.ndarray]
+    second: int = 1  # cells that share a word of the first codebook: 1, or the words of the second
 
     @classmethod
-    def train(cls, x: np.ndarray, cells: int, levels: int = 6, words: int = 128, rounds: int = 8, seed: int = 7) -> "AdditiveQuantiser":
-        """Each codebook is fitted to what the codebooks before it leave of the sample."""
+    def train(cls, x: np.ndarray, cells: int, levels: int = 6, words: int = 128, rounds: int = 8, seed: int = 7, first: int = 4096) -> "AdditiveQuantiser":
+        """Each codebook is fitted to what the codebooks before it leave of the sample. The first has ``cells``
+        words, but if that is more than ``first`` or a quarter of the sample, a ``words``-th of it."""
+        second = 1 if cells <= min(first, max(4, len(x) // 4)) else words
         rng, books, rest = np.random.default_rng(seed), [], x.astype(np.float32)
         for level in range(levels):
-            books.append(kmeans(rest, cells if level == 0 else words, rounds, rng))
+            books.append(kmeans(rest, max(2, cells // second) if level == 0 else words, rounds, rng))
             rest = rest - books[-1][nearest(rest, books[-1])]
-        return cls(books)
+        return cls(books, second)
+
+    def cells(self, codes: np.ndarray) -> np.ndarray:
+        return codes[:, 0] * self.second + (codes[:, 1] if self.second > 1 else 0)
 
     def encode(self, x: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Codes (one column per codebook) of the best of ``beam`` sums, and the squared length of that sum."""
@@ -65,10 +72,19 @@ class AdditiveQuantiser:
         return codes[np.arange(n), best], ((x - rest[np.arange(n), best]) ** 2).sum(1)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` cells whose centres are nearest, for each row."""
+        """The ``n`` cells whose sums of words are nearest, for each row."""
         c = self.books[0]
         s = x @ c.T - (c * c).sum(1) / 2
-        return np.argpartition(-s, n - 1, 1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        if self.second == 1:
+            return np.argpartition(-s, n - 1, 1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        b, wide = self.books[1], min(len(c), 2 * n)
+        near = np.argpartition(-s, wide - 1, 1)[:, :wide] if wide < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        # closeness to word + second word, up to the length of x: s of the word, and the rest's to the second
+        both = np.take_along_axis(s, near, 1)[:, :, None] + (x @ b.T)[:, None, :] - (c[near] @ b.T) - (b * b).sum(1) / 2
+        flat = both.reshape(len(x), -1)
+        n = min(n, flat.shape[1])
+        top = np.argpartition(-flat, n - 1, 1)[:, :n]
+        return np.take_along_axis(near, top // len(b), 1) * self.second + top % len(b)
 
 
 def _unpack(col: pd.Series, dim: int) -> np.ndarray:
@@ -96,12 +112,13 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, probes: int = 12, shortlist: int = 32, queries: str | None = None,
-                       levels: int = 6, words: int = 128, beam: int = 4, sample: int = 16_384, block: int = 4_096, copies: bool = True) -> DataFrame:
+                       levels: int = 6, words: int = 128, beam: int = 4, sample: int = 16_384, block: int = 4_096, copies: bool = True, first: int = 4096) -> DataFrame:
     """id_a, id_b, cosine, rank: the ``k`` most similar other vectors (id_b) of every vector (id_a).
 
-    Codebooks are fitted on the ``sample`` vectors with the least hash (bounded, read on the driver); every vector
-    is indexed. The first codebook has about 2 * sqrt(n) words and divides the vectors into cells. A query looks
-    at the ``probes`` cells nearest to it; there all members are scored by table lookup (query times codeword,
+    Codebooks are fitted on a sample read on the driver, the vectors whose hash is under a bound that lets about
+    ``sample`` of them through, whatever the size of the table; every vector is indexed. There are about 2 * sqrt(n)
+    cells: the words of the first codebook, or beyond ``first`` of them its pairs with words of the second. A query
+    looks at the ``probes`` cells nearest to it; there all members are scored by table lookup (query times codeword,
     summed over the codebooks, divided by the stored length of the sum), and the best ``shortlist`` are ranked
     by their exact cosine. ``queries``: SQL condition on id for the vectors that ask; by default all do.
 
@@ -111,20 +128,24 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
     more tasks, not larger ones. An empty table, or one without usable vectors, gives an empty result. Fewer than
     k other vectors give shorter lists.
     """
+    from forgeline.session import cut
+
     spark = df.sparkSession
     schema = "id_a string, id_b string, cosine double, rank int"
     vecs = usable(df, key, vector, dim).withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit("copy")).alias("b")))
-    # Spark limits each group before the shuffle, so copies never meet in one task
-    few = vecs.withColumn("c", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("c") <= k + 1)
-    head = few.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
-    if not len(head):
-        return spark.createDataFrame([], schema)
+    # Spark limits each group before the shuffle, so copies never meet in one task; written once, read three times
+    few = cut(vecs.withColumn("c", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("c") <= k + 1))
     n = few.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    share = min(1.0, sample / n)
+    head = few.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("v").toPandas()
+    if not len(head):  # a handful of vectors of which the bound let none through
+        head = few.limit(64).select("v").toPandas()
     cells = 1 << max(2, round(math.log2(2 * math.sqrt(n))))
-    cells = min(cells, max(4, len(head) // 4))
     probes = min(probes, cells)
-    aq = AdditiveQuantiser.train(_unit(_unpack(head["v"], dim)).astype(np.float32), cells, levels, words)
-    shared = spark.sparkContext.broadcast(aq)  # levels * words * dim floats: under 1 MB, whatever the data
+    aq = AdditiveQuantiser.train(_unit(_unpack(head["v"], dim)).astype(np.float32), cells, levels, words, first=first)
+    shared = spark.sparkContext.broadcast(aq)  # (first + levels * words) * dim floats: under 2 MB, whatever the data
 
     def index(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
@@ -134,16 +155,15 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
                 x = _unit(_unpack(s["v"], dim)).astype(np.float32)
                 codes, norm = q.encode(x, beam)
                 near = q.probes(x, probes)
-                yield pd.DataFrame({"id": s["id"], "v": s["v"], "cell": codes[:, 0], "codes": [r.tobytes() for r in codes[:, 1:].astype(np.uint8)], "norm": np.sqrt(np.maximum(norm, 1e-12)), "near": list(near)})
-
-    from forgeline.session import cut
+                yield pd.DataFrame({"id": s["id"], "v": s["v"], "cell": q.cells(codes), "codes": [r.tobytes() for r in codes[:, 1:].astype(np.uint8)], "norm": np.sqrt(np.maximum(norm, 1e-12)), "near": list(near)})
 
     coded = cut(few.select("id", "v").mapInPandas(index, "id string, v binary, cell int, codes binary, norm float, near array<int>"))
     ask = coded.where(queries) if queries else coded
-    # at most `cells` rows
-    sizes = {r.cell: r.n for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asks = {r.cell: r.n for r in ask.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame([(int(c), -(-sizes[c] // block), -(-asks.get(c, 1) // block)) for c in sizes], "cell int, mb int, qb int")
+    # one row per cell, which is about 2 * sqrt(n) rows of 16 bytes
+    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    asks = ask.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    blocks = lambda c: F.ceil(F.coalesce(c, F.lit(1)) / block).cast("int")
+    plan = cut(sizes.join(asks, "cell", "left").select("cell", blocks(F.col("n")).alias("mb"), blocks(F.col("m")).alias("qb")))
     members = coded.join(F.broadcast(plan), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "id", "v", "codes", "norm")
     asking = (
         ask.select("id", "v", F.explode("near").alias("cell"))
@@ -165,7 +185,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
             part = ask_.iloc[i : i + 512]
             qv = _unit(_unpack(part["v"], dim))
             q32 = qv.astype(np.float32)
-            score = np.repeat((q32 @ aq_.books[0][key_[0]])[:, None], len(mem), 1)
+            score = np.repeat((q32 @ aq_.books[0][key_[0] // aq_.second])[:, None], len(mem), 1)
             for level, book in enumerate(aq_.books[1:]):
                 score += (q32 @ book.T)[:, codes[:, level]]
             score /= norm
@@ -189,10 +209,13 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dim: in
     if not copies:
         return lists
     # copies beyond the k + 1 least ids of their group: the k least ids of the group are their list
+    more = few.where(F.col("c") == k + 1).select("h")
     rest = vecs.select("id", "h").join(few.select("id"), "id", "left_anti")
     rest = rest.where(queries) if queries else rest
-    first = few.where(F.col("c") <= k).select("h", F.col("id").alias("id_b"), F.col("c").alias("rank"))
-    return lists.unionByName(rest.join(first, "h").select(F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("cosine"), "rank"))
+    # a vector may be that of a third of all rows: its rows are spread over 32 parts, its short list is repeated
+    lists_of = few.where(F.col("c") <= k).join(more, "h").select("h", F.col("id").alias("id_b"), F.col("c").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("s"))
+    spread = rest.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")).join(lists_of, ["h", "s"])
+    return lists.unionByName(spread.select(F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("cosine"), "rank"))
 
 
 def mutual_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.95, **kw) -> DataFrame:

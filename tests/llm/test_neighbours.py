@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from conftest import rows
 from forgeline.llm.neighbours import AdditiveQuantiser, mutual_neighbours, nearest_neighbours
@@ -13,7 +14,9 @@ def cluster_data(n=400, seed=0):
     return (x * rng.uniform(0.5, 3, (n, 1))).astype(np.float32)
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("first", [4096, 4])
+def test_recall_against_brute_force(spark, first):
+    """With the words of the first codebook as cells, and with pairs of words of the first two."""
     x = cluster_data()
     df = spark.createDataFrame([(f"{i:04}", v.tolist(), 1) for i, v in enumerate(x)], S)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -21,12 +24,12 @@ def test_recall_against_brute_force(spark):
     np.fill_diagonal(s, -2)
     top = np.argsort(-s, 1)[:, :5]
     got = {}
-    for r in nearest_neighbours(df, "id", "e", dim=16, sample=300, block=64).collect():
+    for r in nearest_neighbours(df, "id", "e", dim=16, sample=300, block=64, words=16, first=first).collect():
         got.setdefault(int(r.id_a), set()).add(int(r.id_b))
     assert all(len(v) <= 5 for v in got.values())
     assert np.mean([len(got.get(i, set()) & set(top[i])) / 5 for i in range(len(x))]) >= 0.9
     want = {(f"{min(i, j):04}", f"{max(i, j):04}") for i in range(len(x)) for j in top[i] if i in top[j] and s[i, j] >= 0.95}
-    pairs = set(rows(mutual_neighbours(df, "id", "e", dim=16, sample=300, block=64)))
+    pairs = set(rows(mutual_neighbours(df, "id", "e", dim=16, sample=300, block=64, words=16, first=first)))
     assert len(want & pairs) >= 0.97 * len(want) and len(pairs - want) <= 0.02 * len(want)
 
 
