@@ -1,7 +1,12 @@
-"""Evaluation texts leaking into training text."""
+"""Evaluation texts leaking into training text.
+
+Template windows are three words in order of which none, the second or the third may be one word further on, so a
+passage that keeps three fifths of an item's words shares windows with it however the other words are spread.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -13,28 +18,47 @@ from pyspark.sql import functions as F
 UNITS = ["mm", "cm", "m", "metre", "metres", "millimetre", "millimetres", "inch", "inches", "in", "ft", "feet", "bar", "psi", "kpa", "mpa", "kg", "g", "lb", "lbs", "degree", "degrees", "percent", "litre", "litres", "micron", "microns", "hertz", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years"]
 
 
-def words_of(text: Column) -> Column:
-    """Words in order, whatever the letter case, punctuation, spacing, line breaks and markup.
+#: Codes of the typed placeholders among the hashed words.
+NUMBER, UNIT = 1, 2
+#: How far the second and the third word of a window are from its first.
+REACHES = [(1, 2), (1, 3), (2, 3), (2, 4)]
+
+
+def raw_words(text: Column) -> Column:
+    """Words in order and as they are written, whatever the punctuation, spacing, line breaks and markup.
 
     Markup, quotation marks of mail and invisible characters go; words broken at a line end are joined again, and
     hyphens within words do not count.
     """
-    t = F.regexp_replace(F.lower(text), r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};", " ")
-    t = F.regexp_replace(t, "[­​-‏⁠﻿]", "")
+    t = F.regexp_replace(text, r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|&#\d{1,6};", " ")
+    t = F.regexp_replace(t, "[\u00ad\u200b-\u200f\u2060\ufeff]", "")
     t = F.regexp_replace(t, r"(?<=\p{L})[-‐](?:\s*[\r\n]+[>|\s]*)?(?=\p{L})", "")
     return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def template(words: Column, names: Column) -> Column:
-    """Typed placeholders: # for words with a digit, % for units, @ for names."""
-    units = F.array(*[F.lit(u) for u in UNITS])
-    return F.transform(words, lambda w: F.when(w.rlike(r"\p{N}"), F.lit("#")).when(F.array_contains(units, w), F.lit("%")).when(F.array_contains(names, w), F.lit("@")).otherwise(w))
+def template(words: Column) -> Column:
+    """One number per word: placeholders for words with a digit and for units, else the hash of the word in lower case."""
+
+    def code(w: Column) -> Column:
+        low = F.lower(w)
+        return F.when(w.rlike(r"\p{N}"), F.lit(NUMBER).cast("long")).when(low.isin(UNITS), F.lit(UNIT).cast("long")).otherwise(F.xxhash64(low))
+
+    return F.transform(words, code)
 
 
-def windows(words: Column, size: int) -> Column:
-    """Hash and position of each run of ``size`` words."""
-    n = F.size(words) - size + 1
-    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(words, i, size), " ")).alias("h"), i.alias("pos")))
+def windows(df: DataFrame, keep: list[str], codes: str) -> DataFrame:
+    """``keep``, h, pos: the windows of each row's words. Windows of placeholders only say nothing and are left out."""
+    c, n = F.col(codes), F.size(codes)
+    after = [F.slice(c, k + 1, F.greatest(n, F.lit(1))).alias(f"c{k}") for k in range(REACHES[-1][1] + 1)]
+    # the neighbours of each word as columns of its row: everything behind is compiled code
+    rows = df.where(n > 2).select(*keep, F.posexplode(F.arrays_zip(*after)).alias("pos", "z")).select(*keep, "pos", "z.*")
+
+    def window(a: int, b: int) -> Column:
+        x, y, z = F.col("c0"), F.col(f"c{a}"), F.col(f"c{b}")
+        words = z.isNotNull() & ~(x.isin(NUMBER, UNIT) & y.isin(NUMBER, UNIT) & z.isin(NUMBER, UNIT))
+        return F.when(words, F.xxhash64(x, y, z))
+
+    return rows.select(*keep, "pos", F.explode(F.array(*[window(a, b) for a, b in REACHES])).alias("h")).where("h is not null")
 
 
 def longest_common(item_bits: dict[str, int], n: int, words: list[str]) -> int:
@@ -49,26 +73,49 @@ def longest_common(item_bits: dict[str, int], n: int, words: list[str]) -> int:
     return n - row.bit_count()
 
 
-def best_passage(item: list[str], doc: list[str], around: list[int], slack: float = 1.25) -> tuple[float, int]:
+def passage_length(n):
+    """Words of the longest passage that is looked at for an item of ``n`` words: a quarter more, and five."""
+    return F.floor(n * 1.25).cast("int") + 5 if isinstance(n, Column) else int(n * 1.25) + 5
+
+
+def best_passage(item: list[str], doc: list[str], last: int | None = None) -> tuple[float, int]:
     """Greatest share of the item's words that stand in order in one passage, and where the passage begins.
 
-    A passage is at most ``slack`` times as long as the item, and five words. Only passages that hold one of the
-    positions ``around`` are looked at; they begin in steps of an eighth of the item.
+    Passages begin in steps of an eighth of the item up to the word ``last``, by default everywhere.
     """
     n = len(item)
     bits: dict[str, int] = {}
     for i, w in enumerate(item):
         bits[w] = bits.get(w, 0) | 1 << i
-    length, step = int(n * slack) + 5, max(1, n // 8)
-    starts = sorted({max(0, (p // step - k) * step) for p in around for k in range(length // step + 1)})
-    best, where = 0, 0
-    for s in starts:
+    length, best, where = passage_length(n), 0, 0
+    for s in range(0, min(len(doc), last + 1 if last is not None else len(doc)), max(1, n // 8)):
         c = longest_common(bits, n, doc[s : s + length])
         if c > best:
             best, where = c, s
     return best / n, where
 
 
+NAME = re.compile(r"[^\W\d_]{3,}")
+
+
+def slots(raw: list[str], names: set[str]) -> list[str]:
+    """Words in lower case with typed placeholders: # for words with a digit, % for units, @ for names.
+
+    Names are words in capitals, unless most words are, and the words in ``names``.
+    """
+    capitals = [bool(NAME.fullmatch(w)) and w.isupper() for w in raw]
+    if 2 * sum(capitals) > len(raw):
+        capitals = [False] * len(raw)
+    out = []
+    for w, c in zip(raw, capitals):
+        low = w.lower()
+        out.append("#" if any(x.isnumeric() for x in w) else "%" if low in _UNITS else "@" if c or low in names else low)
+    return out
+
+
+_UNITS = set(UNITS)
+
+
 def consistent_slots(item: list[str], item_t: list[str], doc: list[str], doc_t: list[str]) -> bool:
     """Whether, in the alignment of the templates, each value of a slot of the item stands for one value in the text."""
     to: dict[str, str] = {}
@@ -84,58 +131,69 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """A broadcast hint if the rows, counted, are at most ``most``; else the plain side of a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """A broadcast hint if the sum of ``size`` over the rows is at most ``most``; else the plain side of a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
 
+def leaks(documents: DataFrame, items: DataFrame, least: float = 0.6, least_template: float = 0.85, hit_share: float = 0.1, short: int = 15, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, item_id, share, kind of every document with a passage of an item; one row per pair.
 
-def leaks(documents: DataFrame, items: DataFrame, size: int = 4, least: float = 0.6, least_template: float = 0.85, hit_share: float = 0.06, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, item_id, share, kind of every document with a passage of an item.
+    Numbers and units of both sides become typed placeholders, and windows of these templates (see the module) are
+    joined by hash. Hits are counted per stretch of a document of two passage lengths, every passage lying within
+    one; stretches with windows of fewer than ``hit_share`` of the item's positions go. Where an item keeps
+    ``least`` = 3/5 of its n words and the rest is exchanged word for word, at least n/5 - 2 of its positions begin
+    a window that is still there: fewer than n/5 gaps can be of three words or more, and each breaks two windows.
+    That is more than asked for from 20 words on, and one or more from 15 (``short``); shorter items are found by
+    their single words instead. The remaining stretches are checked on the texts: kind is "verbatim" if at least
+    ``least`` of the item's words stand in order in one passage, else "re-parameterised" if ``least_template`` of
+    its template, names in capitals being placeholders too, does and every slot value was exchanged consistently.
 
-    Numbers, units and names of both sides become typed placeholders; runs of ``size`` words of these templates
-    are joined by hash, and pairs with too few different item positions in common (``hit_share`` of the item, at
-    least three, but never more than ``least`` of the item gives if it stands in one piece) go. Items of which
-    ``least`` is shorter than a run are found by their single words instead. The remaining pairs are checked on the texts: kind is "verbatim" if at least ``least`` of the
-    item's words stand in order in one passage, else "re-parameterised" if ``least_template`` of its template does
-    and every slot value was exchanged consistently. Null and empty texts leak nothing. Items with the same text each leak. The windows of the items are broadcast if they are
-    counted to be few, and joined by a shuffle beyond that.
+    Null and empty texts leak nothing. Items with the same text each leak. The items' side is broadcast if its
+    counted size is at most ``broadcast_bytes``, and joined by a shuffle beyond that.
     """
-    it = items.where("item_id is not null and text is not null").select("item_id", "text", once(words_of(F.col("text"))).alias("iw"))
-    # names: words in capitals in the items' own spelling; a closed list beside the items
-    named = it.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}])\p{Lu}{3,}(?![\p{L}\p{N}])"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct().limit(1001).collect()
-    names = F.array(*[F.lit(r.w) for r in sorted(named)]) if 0 < len(named) <= 1000 else F.array().cast("array<string>")
-    it = it.select("item_id", "iw", once(template(F.col("iw"), names)).alias("item_t"))
-    enough = lambda n: F.ceil(n * least - 1e-9)
-    iwin = it.where(enough(F.size("iw")) >= size).select("item_id", F.explode(windows(F.col("item_t"), size)).alias("x"), F.size("iw").alias("n")).select("item_id", "n", F.col("x.h").alias("h"), F.col("x.pos").alias("ipos"))
+    it = items.where("item_id is not null and text is not null").select("item_id", once(raw_words(F.col("text"))).alias("iw"))
+    it = it.where(F.size("iw") > 0).select("item_id", "iw", F.size("iw").alias("n"))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    dtemp = docs.select("doc_id", once(template(words_of(F.col("text")), names)).alias("dt"))
-    dwin = dtemp.select("doc_id", F.explode(windows(F.col("dt"), size)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
-    hits = dwin.join(bounded(iwin, broadcast_rows), "h")
-    # one row per pair: item positions are few, and of the document's the first of each stretch of 32 words
-    together = lambda h: h.groupBy("doc_id", "item_id", "n").agg(F.size(F.collect_set("ipos")).alias("hits"), F.collect_set((F.floor(F.col("pos") / 32) * 32).cast("int")).alias("around"))
-    pairs = together(hits).where(F.col("hits") >= F.least(F.greatest(F.lit(3), F.ceil(F.col("n") * hit_share)), enough(F.col("n")) - size + 1))
-    short = it.where(enough(F.size("iw")) < size)
-    if short.limit(1).count():
-        swords = short.select("item_id", F.size("iw").alias("n"), F.posexplode("item_t").alias("ipos", "w"))
-        dwords = dtemp.select("doc_id", F.posexplode("dt").alias("pos", "w"))
-        pairs = pairs.unionByName(together(dwords.join(bounded(swords, broadcast_rows), "w")).where(F.col("hits") >= enough(F.col("n"))))
-    found = pairs.join(docs, "doc_id").join(bounded(it, broadcast_rows // 50), "item_id")
-    ready = found.select("doc_id", "item_id", "around", "iw", "item_t", once(words_of(F.col("text"))).alias("dw")).withColumn("dt", template(F.col("dw"), names))
+    coded = docs.select("doc_id", once(raw_words(F.col("text"))).alias("dw")).select("doc_id", once(template(F.col("dw"))).alias("dc"))
+    icoded = it.select("item_id", "n", template(F.col("iw")).alias("ic"))
+    iwin = windows(icoded.where(F.col("n") >= short), ["item_id", "n"], "ic").withColumnRenamed("pos", "ipos")
+
+    def stretches(hits: DataFrame, enough: Column) -> DataFrame:
+        at = F.floor(F.col("pos") / passage_length(F.col("n"))).cast("int")
+        both = hits.select("doc_id", "item_id", "n", "ipos", F.explode(F.array(at, at - 1)).alias("part"))
+        return both.groupBy("doc_id", "item_id", "n", "part").agg(F.size(F.collect_set("ipos")).alias("hits")).where(F.col("hits") >= enough)
+
+    row = F.lit(32)
+    pairs = stretches(windows(coded, ["doc_id"], "dc").join(bounded(iwin, row, broadcast_bytes), "h"), F.greatest(F.lit(1), F.floor(F.col("n") * hit_share)))
+    few = icoded.where(F.col("n") < short)
+    if few.limit(1).count():
+        iwords = few.select("item_id", "n", F.posexplode("ic").alias("ipos", "h"))
+        dwords = coded.select("doc_id", F.posexplode("dc").alias("pos", "h"))
+        pairs = pairs.unionByName(stretches(dwords.join(bounded(iwords, row, broadcast_bytes), "h"), F.ceil(F.col("n") * least - 1e-9)))
+    length = passage_length(F.col("n"))
+    begin = F.greatest(F.col("part") * length, F.lit(0))
+    found = pairs.select("doc_id", "item_id", "part").join(docs, "doc_id").join(bounded(it, F.lit(24) + F.length(F.array_join("iw", " ")) * 4, broadcast_bytes), "item_id")
+    ready = found.select("doc_id", "item_id", "iw", begin.alias("begin"), length.alias("length"), once(raw_words(F.col("text"))).alias("dw"))
+    ready = ready.select("doc_id", "item_id", "iw", F.slice("dw", F.col("begin") + 1, F.col("length") * 2).alias("dw"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for doc_id, item_id, around, iw, item_t, dw, dt in p[["doc_id", "item_id", "around", "iw", "item_t", "dw", "dt"]].itertuples(index=False):
-                iw, item_t, dw, dt = list(iw), list(item_t), list(dw), list(dt)
-                pos = [x + k for x in around for k in (*range(0, 32, min(16, int(len(iw) * 1.25) + 5)), 31)]
-                share, _ = best_passage(iw, dw, pos)
+            for doc_id, item_id, iw, dw in p[["doc_id", "item_id", "iw", "dw"]].itertuples(index=False):
+                iw, dw = list(iw), list(dw)
+                il, dl, length = [w.lower() for w in iw], [w.lower() for w in dw], passage_length(len(iw))
+                share, _ = best_passage(il, dl, length)
                 if share >= least - 1e-9:
                     rows.append((doc_id, item_id, round(share, 4), "verbatim"))
                     continue
-                t_share, at = best_passage(item_t, dt, pos)
-                end = at + int(len(iw) * 1.25) + 5
-                if t_share >= least_template and consistent_slots(iw, item_t, dw[at:end], dt[at:end]):
+                item_t = slots(iw, set())
+                doc_t = slots(dw, {w for w, t in zip(il, item_t) if t == "@"})
+                t_share, at = best_passage(item_t, doc_t, length)
+                if t_share >= least_template and consistent_slots(il, item_t, dl[at : at + length], doc_t[at : at + length]):
                     rows.append((doc_id, item_id, round(t_share, 4), "re-parameterised"))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "kind"])
 
-    return ready.mapInPandas(check, "doc_id long, item_id long, share double, kind string")
+    checked = ready.mapInPandas(check, "doc_id long, item_id long, share double, kind string")
+    best = F.max(F.struct((F.col("kind") == "verbatim").alias("v"), "share", "kind")).alias("b")
+    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.share", "b.kind")

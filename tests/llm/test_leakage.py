@@ -53,14 +53,43 @@ def test_exchanged_slots(spark):
 def test_shuffled_join_gives_the_same(spark):
     docs = spark.createDataFrame([(1, ITEM, ""), (2, "nothing of it", "")], D)
     items = spark.createDataFrame([(7, ITEM, "s")], I)
-    assert rows(leaks(docs, items)) == rows(leaks(docs, items, broadcast_rows=0))
+    assert rows(leaks(docs, items)) == rows(leaks(docs, items, broadcast_bytes=0))
 
 
 def test_passage_is_local():
     item = [f"w{i}" for i in range(40)]
     spread = [x for w in item for x in (w, *["p"] * 10)]
-    assert best_passage(item, spread, range(0, len(spread), 8))[0] < 0.3
-    assert best_passage(item, ["p"] * 50 + item, range(0, 90, 8))[0] == 1.0
+    assert best_passage(item, spread)[0] < 0.3
+    assert best_passage(item, ["p"] * 50 + item)[0] == 1.0
+
+
+def test_exchanged_words_against_brute_force(spark):
+    """Every k-th word exchanged, three of five kept in several patterns, random words exchanged: as many as the definition says."""
+    import random
+
+    rng = random.Random(11)
+    texts = {k: [f"w{rng.randrange(400)}x" for _ in range(n)] for k, n in ((1, 21), (2, 40), (3, 75), (4, 15))}
+    texts = {k: [w.replace("0", "a").replace("1", "b").translate(str.maketrans("23456789", "cdefghij")) for w in v] for k, v in texts.items()}
+    docs, n = [], 0
+    for k, words in texts.items():
+        keep = [lambda i, m=m: i % m != m - 1 for m in (2, 3, 4, 5)] + [lambda i, p=p: p[i % 5] == "x" for p in ("xxxoo", "xxoxo", "xoxxo", "oxoxx", "xoxoo")]
+        keep += [lambda i, t=t: random.Random(100 * t + i).random() < 0.58 + 0.02 * t for t in range(10)]
+        for f in keep:
+            body = [w if f(i) else "zz" for i, w in enumerate(words)]
+            docs.append((n, " ".join(["before"] * rng.randrange(120) + body + ["after"] * rng.randrange(30)), ""))
+            n += 1
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, D), spark.createDataFrame([(k, " ".join(v), "s") for k, v in texts.items()], I)).where("kind = 'verbatim'").collect()}
+    want = {(d, k) for d, t, _ in docs for k, v in texts.items() if best_passage(v, t.split())[0] >= 0.6 - 1e-9}
+    assert want and got == want
+
+
+def test_many_names(spark):
+    """Names are known by their form, however many there are."""
+    w = ITEM.split()
+    many = spark.createDataFrame([(7, ITEM, "s"), (8, " ".join(f"N{chr(65 + i // 676)}{chr(65 + i // 26 % 26)}{chr(65 + i % 26)}" for i in range(1500)), "s")], I)
+    other = " ".join({"64": "12", "36": "99", "QUORIDAN": "TALLVIK", "metre": "inch"}.get(x, x) for x in w)
+    got = rows(leaks(spark.createDataFrame([(1, other, "")], D), many, least=0.95).select("doc_id", "item_id", "kind"))
+    assert got == [(1, 7, "re-parameterised")]
 
 
 def test_short_items(spark):
