@@ -185,26 +185,31 @@ def spelled_out(c: Column) -> Column:
     return F.when(F.octet_length(c) > F.char_length(c), out).otherwise(c)
 
 
+#: Stands behind every text of a row; a value in front of it may have been cut.
+END = "\x1e"
+
+
 def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float = 100.0, foreign_only: bool = False) -> DataFrame:
-    """``key``, pos, quantity, amount, is_canonical: each value with a unit in ``texts`` in canonical amounts.
+    """``key``, pos, quantity, amount, is_canonical, doubtful: each value with a unit in ``texts`` in canonical amounts.
 
-    The texts of a row are read as one, in the given order; pos counts the values from 0. Values are found with
+    The texts of a row are read one behind the other, in the given order; pos counts the values from 0. Values are found with
     one built-in regular expression in the JVM, units resolved by an equi-join with the conversion table, which
     has a fixed size (one row per spelling) whatever the data. quantity: by dimension, lengths told apart by their
     label or the word behind them: wall, length, else size. Masses and temperatures need their label, since bare
-    ones are pressure classes, grades and the like; metres need a length label, and a labelled length over
-    ``max_metres`` is a cut-off MM. Null and empty texts state nothing; fractions over zero are no values.
+    ones are pressure classes, grades and the like; metres need a length label. A length over
+    ``max_metres`` whose M is the last letter of its text is doubtful, since it may be a cut-off MM; no other value is. Null and empty texts state nothing; fractions over zero are no values.
     """
     # a projection of its own: the text is made once, though read several times
-    whole = df.select(F.col(key).alias("__key"), F.upper(F.concat_ws("\n", *texts)).alias("__text"))
+    whole = df.select(F.col(key).alias("__key"), F.upper(F.concat_ws(END, *texts, F.lit(""))).alias("__text"))
     m = F.col("m")
     pattern, unit, marks = PATTERNS[foreign_only]
     tail = F.regexp_extract(m, r"(THK|THICK|LG|LONG)$", 1)
     spelled = F.regexp_extract(m, rf"({unit}) *(?:THK|THICK|LG|LONG)?$", 1)
     conv = conversion_table(df.sparkSession)
     found = (
-        whole.select("__key", F.posexplode(F.regexp_extract_all(spelled_out(F.col("__text")), F.lit(pattern), F.lit(0))).alias("pos", "m"))
-        .select("__key", "pos", "m", F.regexp_replace(spelled, r"^DEG\.? ?", "DEG ").alias("spelling"))
+        whole.select("__key", F.posexplode(F.regexp_extract_all(spelled_out(F.col("__text")), F.lit(rf"(?:{pattern})(?:\s*{END})?"), F.lit(0))).alias("pos", "m"))
+        .select("__key", "pos", m.endswith(END).alias("last"), F.regexp_replace(m, rf"\s*{END}\z", "").alias("m"))
+        .select("__key", "pos", "m", "last", F.regexp_replace(spelled, r"^DEG\.? ?", "DEG ").alias("spelling"))
         .join(conv.where("not is_canonical") if foreign_only else conv, "spelling")
     )
     mark = F.regexp_extract(m, rf"^({marks})", 1)
@@ -221,8 +226,8 @@ def measurements(df: DataFrame, key: str, texts: list[Column], max_metres: float
         .when((dim == "length") & (F.col("factor") != 1e6) & ~mk.isin("WE", "WT", "TE"), "size")
     )
     return (
-        parsed.where(F.col("value").isNotNull() & ~((F.col("factor") == 1e6) & (F.col("value") > max_metres)))
-        .select(F.col("__key").alias(key), "pos", quantity.alias("quantity"), F.floor(F.col("value") * F.col("factor") + F.col("offset") + F.lit(0.5 + 1e-7)).cast("long").alias("amount"), "is_canonical")
+        parsed.where(F.col("value").isNotNull())
+        .select(F.col("__key").alias(key), "pos", quantity.alias("quantity"), F.floor(F.col("value") * F.col("factor") + F.col("offset") + F.lit(0.5 + 1e-7)).cast("long").alias("amount"), "is_canonical", (F.col("last") & (F.col("factor") == 1e6) & (F.col("value") > max_metres) & (F.col("spelling") == "M") & m.endswith("M")).alias("doubtful"))
         .where("quantity is not null")
     )
 
@@ -240,9 +245,21 @@ def foreign_units(materials: DataFrame) -> DataFrame:
     """id, quantity, amount of each quantity that a row states in a unit other than the canonical one.
 
     If a row states a quantity several times, the first counts: short description, long description, attributes.
+    Doubtful values (see ``measurements``) are no statement.
     """
     shift = 1 << 40
-    m = measurements(materials, "id", material_texts(), foreign_only=True)
+    m = measurements(materials, "id", material_texts(), foreign_only=True).where("not doubtful")
     # position and amount in one long: a map-side hash aggregate without sorting
     packed = m.groupBy("id", "quantity").agg(F.min(F.col("pos").cast("long") * (2 * shift) + F.col("amount") + shift).alias("x"))
     return packed.select("id", "quantity", (F.pmod(F.col("x"), F.lit(2 * shift)) - shift).alias("amount"))
+
+
+def canonical_values(materials: DataFrame) -> DataFrame:
+    """id, pos, quantity, amount, unit, is_canonical, doubtful: every value that a row states, in whatever unit, as a
+    number of the canonical one (mm, bar, kg, degrees Celsius); pos is its place among the values of the row."""
+    units = {q: CANONICAL[d] for d, qs in (("length", ("size", "wall", "length")), ("pressure", ("pressure",)), ("mass", ("weight",)), ("temperature", ("temp",))) for q in qs}
+    value, unit = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for q, (name, per) in units.items():
+        value = F.when(F.col("quantity") == q, F.col("amount") / per).otherwise(value)
+        unit = F.when(F.col("quantity") == q, name).otherwise(unit)
+    return measurements(materials, "id", material_texts()).select("id", "pos", "quantity", value.alias("amount"), unit.alias("unit"), "is_canonical", "doubtful")

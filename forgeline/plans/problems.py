@@ -10,6 +10,10 @@ def p4_found(spark, d):
     return units.foreign_units(read(spark, d, "materials"))
 
 
+def p4_values(spark, d):
+    return units.canonical_values(read(spark, d, "materials"))
+
+
 def p6_found(spark, d):
     return snapshots.material_changes(read(spark, d, "materials"), read(spark, d, "material_uploads"))
 
@@ -22,7 +26,7 @@ def p7_unified(spark, d):
     return drift.unified_table(read(spark, d, "materials"), read(spark, d, "material_uploads"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_unified": p7_unified}
+QUERIES = {"p4_found": p4_found, "p4_values": p4_values, "p6_found": p6_found, "p7_found": p7_found, "p7_unified": p7_unified}
 
 P6_SQL = r"""
 WITH u AS (

@@ -53,6 +53,20 @@ def test_canonical_values_are_measured_too(spark):
     assert sorted((r.quantity, r.amount, r.is_canonical) for r in measurements(df, "id", [F.col("t")]).collect()) == [("pressure", 1000, True), ("size", 25000, True)]
 
 
+def test_long_lengths_are_kept(spark):
+    """Only an M that ends its text may be a cut-off MM; the value is marked, not dropped."""
+    assert found(spark, None, "LENGTH: 250 M; DRUM") == {"length": 250000000}
+    assert found(spark, None, "CABLE\nLENGTH: 500 MTR") == {"length": 500000000}
+    assert found(spark, "CABLE; 300 M LG", None) == {"length": 300000000}
+    assert found(spark, "HOSE LENGTH 99 M", None) == {"length": 99000000}
+    assert found(spark, "HOSE LENGTH 250 M ", "SIZE: 2 IN") == {"size": 50800}
+    from forgeline.operators.units import canonical_values
+
+    df = spark.createDataFrame([("a", "HOSE LENGTH 250 M", "SIZE: 2 IN; TEMP: 212 F; WT 500 G; WALL: 3 MM, 20 BAR", None, "")], SCHEMA)
+    got = {(r.quantity, r.amount, r.unit, r.is_canonical, r.doubtful) for r in canonical_values(df).collect()}
+    assert got == {("length", 250000.0, "MM", False, True), ("size", 50.8, "MM", False, False), ("temp", 100.0, "CELSIUS", False, False), ("weight", 0.5, "KG", False, False), ("wall", 3.0, "MM", True, False), ("pressure", 20.0, "BAR", True, False)}
+
+
 def test_graph():
     g = UnitGraph(CONVERSIONS)
     f = g.compositions("MM")["FOOT"]
