@@ -184,3 +184,13 @@ def item_type_py(text: str) -> str | None:
     """``item_type_of`` for one string."""
     found = [m[0] for m in _TYPE.finditer(text)]
     return next((t for t in found if t not in GENERIC_TYPES), found[0] if found else None)
+
+
+def canonical_item_type(value: str | None) -> str | None:
+    """The item type that a value is or begins with; null for null, empty text and values without one."""
+    return item_type_py(expand_py(value).strip()) if value else None
+
+
+def is_generic_item_type(value: str | None) -> bool:
+    """Whether the value is one of the types that only stand in for a specific one."""
+    return (value or "").upper() in GENERIC_TYPES

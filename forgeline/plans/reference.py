@@ -46,6 +46,26 @@ def dash_plant_health(spark, d):
     return an.distribution(_profile(spark, d), "plant", 20)
 
 
+def dash_class_coverage(spark, d):
+    return an.class_quality(_profile(spark, d))
+
+
+def dash_plant_rates(spark, d):
+    return an.plant_health(_profile(spark, d))
+
+
+def dash_shares(spark, d):
+    """Tiers of readiness, lengths, years and gaps with their percentages, in one table."""
+    p = _profile(spark, d)
+    live = p.where("active")
+    parts = {"readiness": (an.readiness_tiers(p), live), "length": (an.length_buckets(live, "long_description"), live), "year": (an.created_years(p), an.dated(p)), "gap": (an.gap_patterns(p), live)}
+    out = None
+    for kind, (counted, total) in parts.items():
+        part = an.with_percentage(counted, total).select(F.lit(kind).alias("kind"), "label", "n", "percentage")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dash_type(spark, d):
     return an.distribution(_profile(spark, d), "material_type", 10)
 
@@ -248,7 +268,7 @@ def eval_recall(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dash_status, dash_summary, dash_class_quality, dash_plant_health, dash_type, dash_coverage, dash_quality, dash_readiness_tiers, dup_descriptions,
+        dash_status, dash_summary, dash_class_quality, dash_plant_health, dash_class_coverage, dash_plant_rates, dash_shares, dash_type, dash_coverage, dash_quality, dash_readiness_tiers, dup_descriptions,
         dup_documents, len_buckets, created_year, gap_patterns, sap_maturity, stats, expand_abbrev, search_text, item_type, vocab_df, class_rule,
         import_dedupe, embedding_carryover, procurement_rank, plants_per_material, material_dedupe, code_lookup, attr_lookup, lexical_topk, trigram_topk,
         arm_union, candidates_top, engineering_score, parse_full, parse_rules, search_batch, search_records, match_explain, shortlist, cosine_topk, event_props, search_items,

@@ -97,6 +97,15 @@ SQL = {
   {_ratio('active', 'total')} AS searchable_rate, {_ratio('embedded', 'active')} AS embedding_coverage FROM s""",
     "dash_class_quality": _dist("class_name", 15, CLASS_COVERAGE),
     "dash_plant_health": _dist("plant", 20),
+    "dash_class_coverage": f"WITH d AS ({_dist('class_name', 15, CLASS_COVERAGE)}) SELECT label, n, active, readiness, {', '.join(f'{_ratio(c + chr(95) + 'count', 'active')} AS {c}_coverage' for c in CLASS_COVERAGE)} FROM d",
+    "dash_plant_rates": f"WITH d AS ({_dist('plant', 20)}) SELECT label, n, active AS searchable, inactive AS excluded, {_ratio('active', 'n')} AS searchable_rate, readiness FROM d",
+    "dash_shares": P + f""", a AS (SELECT *, length(long_description) AS len, concat_ws(', ', CASE WHEN NOT size THEN 'Size' END, CASE WHEN NOT pressure THEN 'Pressure' END, CASE WHEN NOT connection THEN 'Connection' END, CASE WHEN NOT materials THEN 'Materials' END, CASE WHEN NOT standards THEN 'Standards' END) AS l FROM p WHERE active),
+c AS (SELECT count(*) AS live, (SELECT count(*) FROM p WHERE {_DATED}) AS dated FROM a),
+k AS (SELECT 'readiness' AS kind, CASE WHEN readiness >= 70 THEN 'Strong' WHEN readiness >= 40 THEN 'Partial' ELSE 'Sparse' END AS label, count(*) AS n FROM a GROUP BY 2
+  UNION ALL SELECT 'length', CASE WHEN len < 40 THEN 'Under 40 chars' WHEN len < 100 THEN '40-99 chars' WHEN len < 200 THEN '100-199 chars' ELSE '200+ chars' END, count(*) FROM a GROUP BY 2
+  UNION ALL SELECT 'year', right(created, 4), count(*) FROM p WHERE {_DATED} GROUP BY 2
+  UNION ALL (SELECT 'gap', CASE WHEN l = '' THEN 'No critical gaps' ELSE l END AS g, count(*) AS m FROM a GROUP BY 2 ORDER BY m DESC, g LIMIT 8))
+SELECT kind, label, n, {_ratio('n', "(CASE WHEN kind = 'year' THEN dated ELSE live END)")} AS percentage FROM k, c""",
     "dash_type": _dist("material_type", 10),
     "dash_coverage": P + f"SELECT count(*) AS searchable, {', '.join(f'count(*) FILTER ({k}) AS {k}' for k, _, _ in METRICS)} FROM p WHERE active",
     "dash_quality": P + " UNION ALL ".join(f"SELECT {_q(k)} AS key, {_q(n)} AS label, {str(c).lower()} AS critical, count(*) FILTER ({k}) AS n, {_ratio(f'count(*) FILTER ({k})', 'count(*)')} AS percentage FROM p WHERE active" for k, n, c in METRICS),

@@ -38,8 +38,12 @@ def write_parts(matches: DataFrame, path: str, fmt: str = "csv") -> None:
     summary(matches.join(numbered, "query_id"), "part").write.mode("errorifexists").partitionBy("part").option("header", True).format(fmt).save(path)
 
 
-def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], path: str) -> None:
-    """A minimal .xlsx: sheets of text cells with a frozen bold header; for results of one request, on the driver."""
+def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], path: str, titles: dict[str, tuple[str, str]] | None = None) -> None:
+    """A minimal .xlsx: sheets of text cells with a frozen bold header; for results of one request, on the driver.
+
+    ``titles``: sheet -> (name, text) of a row above its header, the text over all columns but the first.
+    """
+    titles = titles or {}
 
     def letters(i: int) -> str:
         s = ""
@@ -47,13 +51,14 @@ def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], path: str) -> Non
             s, i = chr(65 + i % 26) + s, i // 26 - 1
         return s
 
-    def sheet(head: list[str], rows: list[tuple]) -> str:
-        lines = []
-        for r, row in enumerate([head, *rows], 1):
-            cells = "".join(f'<c r="{letters(i)}{r}" t="inlineStr"{" s=\"1\"" if r == 1 else ""}><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for i, v in enumerate(row))
+    def sheet(head: list[str], rows: list[tuple], title: tuple[str, str] | None) -> str:
+        lines, top = [], 2 if title else 1
+        for r, row in enumerate([*([title] if title else []), head, *rows], 1):
+            cells = "".join(f'<c r="{letters(i)}{r}" t="inlineStr"{" s=\"1\"" if r == top else ""}><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for i, v in enumerate(row))
             lines.append(f'<row r="{r}">{cells}</row>')
-        pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{pane}<sheetData>{"".join(lines)}</sheetData></worksheet>'
+        pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="%d" topLeftCell="A%d" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' % (top, top + 1)
+        merged = f'<mergeCells count="1"><mergeCell ref="B1:{letters(len(head) - 1)}1"/></mergeCells>' if title and len(head) > 2 else ""
+        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{pane}<sheetData>{"".join(lines)}</sheetData>{merged}</worksheet>'
 
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
@@ -64,5 +69,5 @@ def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], path: str) -> Non
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(s)}" sheetId="{i}" r:id="rId{i}"/>' for i, s in enumerate(sheets, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, n + 1)) + f'<Relationship Id="rId{n + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", f'<?xml version="1.0"?><styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
-        for i, (head, rows) in enumerate(sheets.values(), 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet(head, rows))
+        for i, (name, (head, rows)) in enumerate(sheets.items(), 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", sheet(head, rows, titles.get(name)))

@@ -36,6 +36,31 @@ def test_engine(spark, tmp_path):
     assert d["summary"].first().total == 5 and d["years"].count() == 2 and d["insights"]
     r = e.evaluate(4, str(tmp_path / "report.txt"))
     assert r["empty"] == 0 and "mrr" in open(tmp_path / "report.txt").read()
+    one = e.search(["slip on flange DN40"], 3)
+    assert set(r.band for r in one.collect()) <= {"strong", "fair", "weak"}
+    e.export(one, out)
+    top = list(files.sheet_rows(open(out, "rb").read())[2])
+    assert top[0][:2] == ["Search query", "slip on flange DN40"] and top[1][0] == "Query" and len(top[1]) == 14
+    assert d["upload"]["file_name"] == "m.xlsx" and d["generated_at"] and d["class_quality"].first().active >= 0 and d["plant_health"].count() == 3 and d["years"].first().percentage == 50.0
+    assert e.stats()["uploads"] == 1
+
+    def extract(t):
+        if "fail" in t:
+            raise OSError("no answer")
+        return {"sizeMm": 40.0, "materials": ["carbon steel"], "make": "x"} if "flange" in t else None
+
+    def embed(t):
+        raise OSError("no answer")
+
+    got = e.respond(["flange in carbon steel", "please fail this"], 3, extract, embed)
+    assert got["semantic_mode"] == "lexical" and len(got["warnings"]) == 4 and got["elapsed_ms"] >= 0
+    best = got["matches"].where("query_id = 1 and rank = 1").first()
+    assert best.sap_no == "20000002" and {c["key"] for c in best.comparisons} >= {"size", "materials", "make"}
+    got = e.respond(["flange in carbon steel"], 3, None, lambda t: [1.0, 0.0])
+    assert got["semantic_mode"] == "embeddings" and not got["warnings"]
+    assert e.backfill_attributes() == 0
+    e.backfill_vectors(lambda ts: [[float(len(t)), 1.0] for t in ts])
+    assert e.rows().where("status_active and embedding is null").count() == 0
     for bad in ([], ["ab"], ["x" * 2001], [f"query {i}" for i in range(51)]):
         with pytest.raises(ValueError):
             e.search(bad)

@@ -204,3 +204,47 @@ def test_merge(spark):
     df = spark.createDataFrame([(a, b)], f"a {ATTRIBUTES.simpleString()}, b {ATTRIBUTES.simpleString()}")
     r = df.select(store.merge_attributes(F.col("a"), F.col("b")).alias("m")).first().m
     assert (r.sizeMm, r.pressureClass, r.make, r.materials) == (50, "PN10", "ACME", ["SS"])
+
+
+@pytest.mark.parametrize("hadoop", [False, True])
+def test_store_side_tables_and_locks(spark, tmp_path, hadoop):
+    """The same on local files and through Hadoop: the last saved value counts, a lock that was taken over stays."""
+    from forgeline.sources.shared import Hadoop
+
+    root = f"file://{tmp_path}/cat"
+    cat = store.Catalog(spark, root, Hadoop(spark, root) if hadoop else None)
+    rows = spark.createDataFrame([("M1", "1", "P", "", "VLV BALL;DN50,PN10", "", "B2-ERP ACCEPTED", "1"), ("M2", "2", "P", "", "FLNG DN40", "", "A0-DELETED", "2")], "corporate_no string, sap_no string, plant string, class_name string, short_description string, long_description string, status string, x string")
+    cols = {c: c for c in rows.columns if c != "x"}
+    records = rows.select(F.col("x").cast("long").alias("row_no"), F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c))]).alias("raw_data"))
+    cat.publish(store.typed(records, cols), "f.csv")
+    one = cat.current().where("sap_no = '1'").first()
+    for v in ([1.0], [9.0], [5.0]):
+        cat.save_vectors(spark.createDataFrame([(one.id, v)], "id string, embedding array<float>"))
+    assert [r.embedding for r in cat.with_vectors().orderBy("sap_no").collect()] == [[5.0], None]
+    stale = cat.current().withColumn("attributes", F.col("attributes").withField("sizeMm", F.lit(1.0)))
+    cat._save("attributes", stale.select("id", "attributes"))
+    assert [r.a for r in cat.current().orderBy("sap_no").select(F.col("attributes.sizeMm").alias("a")).collect()] == [1.0, 1.0]
+    assert cat.backfill_attributes() == 1 and cat.backfill_attributes() == 0  # the deleted row is left alone
+    assert [r.a for r in cat.current().orderBy("sap_no").select(F.col("attributes.sizeMm").alias("a")).collect()] == [50.0, 1.0]
+    assert cat.backfill_vectors(lambda t: [[0.5]] * len(t)).count() == 0
+    lock = f"{tmp_path}/cat/import.lock"
+    with cat.lock():
+        old = time.time() - 3600
+        os.utime(lock, (old, old))
+        with cat.lock():
+            mine = open(lock).read()
+            with pytest.raises(store.ImportInProgress), cat.lock():
+                pass
+            assert open(lock).read() == mine
+        assert not os.path.exists(lock)
+        with open(lock, "w") as f:
+            f.write("another")
+    assert open(lock).read() == "another"
+
+
+def test_merged_records():
+    assert vocab.canonical_item_type("vlv gate") == "VALVE" and vocab.canonical_item_type("STUBEND") == "STUB END" and vocab.canonical_item_type("") is None and vocab.canonical_item_type("xyz") is None
+    assert vocab.is_generic_item_type("pipe") and not vocab.is_generic_item_type("ELBOW") and not vocab.is_generic_item_type(None)
+    from forgeline.functions.parse import material_search_text
+
+    assert material_search_text("VALVE", "a ,b", "c\nd") == "VALVE A, B C D"
