@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ HIDDEN = re.compile("[­​-‏⁠﻿]")
 MARKUP = re.compile(r"<[^<>]{1,80}>|&[a-z]{2,8};")
 SPELT = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]([ ._\-*]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W\d_])")
 MIXED = re.compile(r"[^\W_]*[a-z][^\W_]*[013457@$!|][013457@$!|]*(?=[a-z])[a-z0-9@$!|]*|[@$][a-z]{2,}")
+# what every match of MIXED holds
+MAYBE_MIXED = re.compile(r"[a-z][0-9]*[013457@$!|]+[a-z]|[@$][a-z]{2}")
+COMBINING = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 SPLIT = re.compile(r"(?<=[.!?;:…])\s+|[\r\n]+|\s*[,()\[\]]\s+|\s+[-–—]\s+")
 
 
@@ -30,9 +34,10 @@ def plain(text: str) -> str:
     t = MARKUP.sub(" ", t) if "<" in t or "&" in t else t
     t = t.lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).translate(LOOKALIKES).replace("ß", "ss")
+        t = COMBINING.sub("", unicodedata.normalize("NFKD", t)).translate(LOOKALIKES).replace("ß", "ss")
     t = SPELT.sub(lambda m: m[0].replace(m[1], ""), t)
-    t = MIXED.sub(lambda m: m[0].translate(STAND_INS), t)
+    if MAYBE_MIXED.search(t):
+        t = MIXED.sub(lambda m: m[0].translate(STAND_INS), t)
     return re.sub(r"([a-z])\1{2,}", r"\1", t)
 
 
@@ -243,22 +248,45 @@ def fit_machine(texts: list[str], labels: list[int], landmarks: int = 384, c: fl
     return Scorer(kernel, (table @ (root @ w[:-1] / norm)).astype(np.float32), float(w[-1]), 0.0)
 
 
+def _least(ids: DataFrame, most: int, n: int) -> DataFrame:
+    """The ``most`` of ``n`` rows with the least hash of doc_id, found among the rows under a bound that lets a few
+    more than that through, so no more than these are sorted, however many there are."""
+    u = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 40))
+    some = most + 6 * most**0.5 + 20
+    return (ids if n <= some else ids.where(u < int(some / n * (1 << 40)))).orderBy(u, "doc_id").limit(most)
+
+
 def training_documents(documents: DataFrame, labels: DataFrame, abusive: int = 2000, clean: int = 4000) -> DataFrame:
     """text, y: at most so many documents of either judgement, those with the least hash of doc_id; where there are
     fewer clean ones than that, documents without a judgement (y = -1) make up the number.
 
-    Judgements of a document are averaged; documents judged both ways alike are left out.
+    Judgements of a document are averaged; documents judged both ways alike are left out. Only the numbers of the
+    chosen documents, of which there are as many as the parameters say whatever the tables hold, meet the texts.
     """
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("y")).where("y <> 0.5")
-    both = votes.join(documents.select("doc_id", "text").where("text is not null"), "doc_id").select("doc_id", "text", (F.col("y") > 0.5).cast("int").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    judged = both.where("y = 1").orderBy(*order).limit(abusive).unionByName(both.where("y = 0").orderBy(*order).limit(clean)).select("text", "y")
-    # few judgements: documents without one, of which few are abusive, show what is usual
-    short = clean - both.where("y = 0").limit(clean).count()
-    if short <= 0:
-        return judged
-    others = documents.select("doc_id", "text").where("text is not null").join(labels.select("doc_id"), "doc_id", "left_anti")
-    return judged.unionByName(others.orderBy(*order).limit(short).select("text", F.lit(-1).alias("y")))
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    judged = votes.select("doc_id", (F.col("y") > 0.5).cast("int").alias("y")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    have = {r.y: r.n for r in judged.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = _least(judged.where("y = 1"), abusive, have.get(1, 0)).unionByName(_least(judged.where("y = 0"), clean, have.get(0, 0)))
+    short = clean - have.get(0, 0)
+    if short > 0:
+        # few judgements: documents without one, of which few are abusive, show what is usual
+        others = texts.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
+        chosen = chosen.unionByName(_least(others, short, others.count()).select("doc_id", F.lit(-1).alias("y")))
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y")
+
+
+_MACHINES: dict[str, Scorer] = {}
+
+
+def _fitted(rows: list[tuple[int, str]], **kw) -> Scorer:
+    """The machine of a sample, which this process keeps: judgements that did not change are not learnt again."""
+    key = hashlib.sha256(repr((rows, sorted(kw.items()))).encode("utf-8", "replace")).hexdigest()
+    if key not in _MACHINES:
+        while len(_MACHINES) > 7:
+            _MACHINES.pop(next(iter(_MACHINES)))
+        _MACHINES[key] = fit_machine([t for _, t in rows], [y for y, _ in rows], **kw)
+    return _MACHINES[key]
 
 
 def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.2, **kw) -> DataFrame:
@@ -268,8 +296,8 @@ def scored_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     sent to the workers as one weight per hashed feature, a fixed 256 KB. Every document is scored whole by its worst
     statement; null and empty texts, and all texts where nothing could be learnt, score below zero.
     """
-    rows = training_documents(documents, labels).toPandas()
-    machine = fit_machine(rows["text"].tolist(), rows["y"].astype(int).tolist(), **kw)
+    rows = sorted((r.y, r.text) for r in training_documents(documents, labels).collect())
+    machine = _fitted(rows, **kw)
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -64,23 +64,20 @@ def leximin_best(candidates: DataFrame, group: str, item: str, scores: list[str]
     return p.select(group, item, v.alias("__v")).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(group, item)
 
 
-def leximin_ranking(candidates: DataFrame, group: str, item: str, scores: list[str], levels: int = 64) -> DataFrame:
+def leximin_ranking(candidates: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
     """``group``, ``item``, one percentile per score and ``rank`` (1 = first, ties by item) for every item.
 
-    The rank is found in two steps so that a hot group is never sorted in one task: items are counted by
-    their weakest percentile in ``levels`` bands, and numbered within a band. A band holds all its ties; items
-    with equal vectors are told apart by a hash band of the item id in front of the id itself.
+    The items are sorted by group, vector and item over all partitions (range partitioning by the whole key, so
+    neither a hot group nor a mass of equal vectors meets in one task) and written; a rank is the place within the
+    group's rows of a partition and the number of its rows in the partitions before.
     """
+    from forgeline.session import cut
+
     pct = [f"pct_{s}" for s in scores]
     p = percentiles(merged_scores(candidates, group, item, scores), group, item, scores).withColumn("__v", leximin_vector(pct))
-    weakest = F.floor(F.col("__v")[0] * levels).cast("int")
-    strongest = F.floor(F.col("__v")[len(scores) - 1] * levels).cast("int")
-    # bands by the weakest score, then, as many share the weakest (missing scores), by exact weakest = 0 and the strongest
-    band = F.when(F.col("__v")[0] == 0, F.struct(F.lit(-1).alias("a"), strongest.alias("b"))).otherwise(F.struct(weakest.alias("a"), F.lit(0).alias("b")))
-    if len(scores) > 2:
-        band = F.struct(weakest.alias("a"), F.lit(0).alias("b"))
-    p = p.withColumn("__band", band)
-    sizes = p.groupBy(group, "__band").agg(F.count(F.lit(1)).alias("__m"))
-    above = sizes.select(group, "__band", (F.sum("__m").over(W.partitionBy(group).orderBy(F.col("__band").desc())) - F.col("__m")).alias("__above"))
-    w = W.partitionBy(group, "__band").orderBy(F.col("__v").desc(), F.col(item))
-    return p.withColumn("__in", F.row_number().over(w)).join(above, [group, "__band"]).select(group, item, *pct, (F.col("__above") + F.col("__in")).cast("long").alias("rank"))
+    placed = cut(p.orderBy(F.col(group), F.col("__v").desc(), F.col(item)).select(group, item, *pct, F.monotonically_increasing_id().alias("__at")))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # at most one row per group and partition
+    before = parts.select(group, "__part", "__first", (F.sum("__n").over(W.partitionBy(group).orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.join(before, [group, "__part"]).select(group, item, *pct, (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("rank"))
