@@ -12,8 +12,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from forgeline.session import cut
+
 # Words that count as units of measurement.
 UNITS = ["mm", "cm", "m", "metre", "metres", "millimetre", "millimetres", "inch", "inches", "in", "ft", "feet", "bar", "psi", "kpa", "mpa", "kg", "g", "lb", "lbs", "degree", "degrees", "percent", "litre", "litres", "micron", "microns", "hertz", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years"]
 
@@ -136,18 +139,40 @@ def bounded(df: DataFrame, size: Column, most: int) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: float = 0.6, least_template: float = 0.85, hit_share: float = 0.1, short: int = 15, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def item_windows(icoded: DataFrame, hits: int) -> DataFrame:
+    """item_id, n, h, bit, need: the windows of the items that are looked for, and how many positions must have one.
+
+    Where an item keeps three fifths of its n words and the rest is exchanged word for word, at least n/5 - 2 of its
+    positions begin a window that is still there: fewer than n/5 gaps can be of three words or more, and each breaks
+    two windows. One less than that is relied on. So of an item's positions, put in order of how many items their
+    windows stand in, all but the last few are enough: the rarest N - relied + ``need`` of N must hold ``need`` that
+    are still there. That leaves out the windows of the most common words, and loses nothing. bit: the position, in
+    items of more than 128 words the 128th part of the item that it lies in, which lowers ``need`` accordingly.
+    """
+    all_ = windows(icoded, ["item_id", "n"], "ic")
+    often = all_.groupBy("h").agg(F.count_distinct("item_id").alias("df"))
+    weight = all_.join(often, "h").groupBy("item_id", "n", "pos").agg(F.sum("df").alias("w"))
+    order = W.partitionBy("item_id").orderBy("w", "pos")
+    n, held = F.col("n"), F.count(F.lit(1)).over(W.partitionBy("item_id"))
+    ranked = weight.select("item_id", "n", "pos", F.row_number().over(order).alias("r"), held.alias("held"))
+    relied = F.greatest(F.lit(1), F.floor(n / 5) - 3 - (n - 2 - F.col("held")))
+    need = F.least(F.lit(hits), relied)
+    kept = ranked.where(F.col("r") <= F.col("held") - relied + need)
+    part = F.ceil(n / 128)
+    kept = kept.select("item_id", "pos", F.floor(F.col("pos") / part).cast("int").alias("bit"), F.ceil(need / part).cast("int").alias("need"))
+    return all_.join(kept, ["item_id", "pos"]).select("item_id", "n", "h", "bit", "need")
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: float = 0.6, least_template: float = 0.85, hits: int = 6, short: int = 15, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, share, kind of every document with a passage of an item; one row per pair.
 
     Numbers and units of both sides become typed placeholders, and windows of these templates (see the module) are
     joined by hash. Hits are counted per stretch of a document of two passage lengths, every passage lying within
-    one; stretches with windows of fewer than ``hit_share`` of the item's positions go. Where an item keeps
-    ``least`` = 3/5 of its n words and the rest is exchanged word for word, at least n/5 - 2 of its positions begin
-    a window that is still there: fewer than n/5 gaps can be of three words or more, and each breaks two windows.
-    That is more than asked for from 20 words on, and one or more from 15 (``short``); shorter items are found by
-    their single words instead. The remaining stretches are checked on the texts: kind is "verbatim" if at least
-    ``least`` of the item's words stand in order in one passage, else "re-parameterised" if ``least_template`` of
-    its template, names in capitals being placeholders too, does and every slot value was exchanged consistently.
+    one; stretches with too few different positions of the item (see ``item_windows``, at most ``hits``) go. Items
+    of fewer than ``short`` words, of which no window need be left, are found by their single words instead. The
+    remaining stretches are checked on the texts: kind is "verbatim" if at least ``least`` of the item's words stand
+    in order in one passage, else "re-parameterised" if ``least_template`` of its template, names in capitals being
+    placeholders too, does and every slot value was exchanged consistently.
 
     Null and empty texts leak nothing. Items with the same text each leak. The items' side is broadcast if its
     counted size is at most ``broadcast_bytes``, and joined by a shuffle beyond that.
@@ -156,39 +181,60 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.6, least_temp
     it = it.where(F.size("iw") > 0).select("item_id", "iw", F.size("iw").alias("n"))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     coded = docs.select("doc_id", once(raw_words(F.col("text"))).alias("dw")).select("doc_id", once(template(F.col("dw"))).alias("dc"))
+    coded = coded.select("doc_id", "dc", F.size("dc").alias("m"))
+    # the items' side is read twice, for its size and for the join
     icoded = it.select("item_id", "n", template(F.col("iw")).alias("ic"))
-    iwin = windows(icoded.where(F.col("n") >= short), ["item_id", "n"], "ic").withColumnRenamed("pos", "ipos")
-
-    def stretches(hits: DataFrame, enough: Column) -> DataFrame:
-        at = F.floor(F.col("pos") / passage_length(F.col("n"))).cast("int")
-        both = hits.select("doc_id", "item_id", "n", "ipos", F.explode(F.array(at, at - 1)).alias("part"))
-        return both.groupBy("doc_id", "item_id", "n", "part").agg(F.size(F.collect_set("ipos")).alias("hits")).where(F.col("hits") >= enough)
-
-    row = F.lit(32)
-    pairs = stretches(windows(coded, ["doc_id"], "dc").join(bounded(iwin, row, broadcast_bytes), "h"), F.greatest(F.lit(1), F.floor(F.col("n") * hit_share)))
+    iwin = cut(item_windows(icoded.where(F.col("n") >= short), hits))
+
+    def stretches(found: DataFrame) -> DataFrame:
+        """Stretch k of a document holds the words from the k-th passage length on; the last begins one before its end."""
+        length = passage_length(F.col("n"))
+        at = F.floor(F.col("pos") / length).cast("int")
+        parts = F.when(at == 0, F.array(at)).when((at + 1) * length >= F.col("m"), F.array(at - 1)).otherwise(F.array(at - 1, at))
+        one = F.lit(1).cast("long")
+        low = F.when(F.col("bit") < 64, F.call_function("shiftleft", one, F.col("bit"))).otherwise(one - one)
+        high = F.when(F.col("bit") < 64, one - one).otherwise(F.call_function("shiftleft", one, F.col("bit") - 64))
+        both = found.select("doc_id", "item_id", "n", "need", low.alias("low"), high.alias("high"), F.explode(parts).alias("part"))
+        seen = both.groupBy("doc_id", "item_id", "n", "need", "part").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+        return seen.where(F.bit_count("low") + F.bit_count("high") >= F.col("need")).select("doc_id", "item_id", "n", "part")
+
+    row = F.lit(40)
+    pairs = stretches(windows(coded, ["doc_id", "m"], "dc").join(bounded(iwin, row, broadcast_bytes), "h"))
     few = icoded.where(F.col("n") < short)
     if few.limit(1).count():
-        iwords = few.select("item_id", "n", F.posexplode("ic").alias("ipos", "h"))
-        dwords = coded.select("doc_id", F.posexplode("dc").alias("pos", "h"))
-        pairs = pairs.unionByName(stretches(dwords.join(bounded(iwords, row, broadcast_bytes), "h"), F.ceil(F.col("n") * least - 1e-9)))
+        iwords = few.select("item_id", "n", F.posexplode("ic").alias("bit", "h"), F.ceil(F.col("n") * least - 1e-9).cast("int").alias("need"))
+        dwords = coded.select("doc_id", "m", F.posexplode("dc").alias("pos", "h"))
+        pairs = pairs.unionByName(stretches(dwords.join(bounded(iwords, row, broadcast_bytes), "h")))
     length = passage_length(F.col("n"))
-    begin = F.greatest(F.col("part") * length, F.lit(0))
-    found = pairs.select("doc_id", "item_id", "part").join(docs, "doc_id").join(bounded(it, F.lit(24) + F.length(F.array_join("iw", " ")) * 4, broadcast_bytes), "item_id")
-    ready = found.select("doc_id", "item_id", "iw", begin.alias("begin"), length.alias("length"), once(raw_words(F.col("text"))).alias("dw"))
-    ready = ready.select("doc_id", "item_id", "iw", F.slice("dw", F.col("begin") + 1, F.col("length") * 2).alias("dw"))
+    found = pairs.join(docs, "doc_id").join(bounded(it.drop("n"), F.lit(24) + F.length(F.array_join("iw", " ")) * 4, broadcast_bytes), "item_id")
+    ready = found.select("doc_id", "item_id", "iw", (F.col("part") * length).alias("begin"), length.alias("length"), once(raw_words(F.col("text"))).alias("dw"))
+    # as one text each, which Arrow carries faster than lists
+    ready = ready.select("doc_id", "item_id", F.array_join("iw", " ").alias("iw"), F.array_join(F.slice("dw", F.col("begin") + 1, F.col("length") * 2), " ").alias("dw"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}  # the items of this partition
         for p in batches:
             rows = []
-            for doc_id, item_id, iw, dw in p[["doc_id", "item_id", "iw", "dw"]].itertuples(index=False):
-                iw, dw = list(iw), list(dw)
-                il, dl, length = [w.lower() for w in iw], [w.lower() for w in dw], passage_length(len(iw))
-                share, _ = best_passage(il, dl, length)
-                if share >= least - 1e-9:
-                    rows.append((doc_id, item_id, round(share, 4), "verbatim"))
+            for doc_id, item_id, it_, dw in p[["doc_id", "item_id", "iw", "dw"]].itertuples(index=False):
+                if it_ not in known:
+                    iw = it_.split(" ")
+                    il, item_t = [w.lower() for w in iw], slots(iw, set())
+                    known[it_] = il, item_t, frozenset(w for w, t in zip(il, item_t) if t not in "#%@"), frozenset(w for w, t in zip(il, item_t) if t in "#%@")
+                il, item_t, plain, slotted = known[it_]
+                dl = dw.lower().split(" ")
+                words, n, length = set(dl), len(il), passage_length(len(il))
+                # each different word that is missing takes one from the share
+                missing = sum(w not in words for w in plain)
+                if missing > n * (1 - least):
+                    continue
+                if missing + sum(w not in words for w in slotted) <= n * (1 - least) + 1e-9:
+                    share, _ = best_passage(il, dl, length)
+                    if share >= least - 1e-9:
+                        rows.append((doc_id, item_id, round(share, 4), "verbatim"))
+                        continue
+                if missing > n * (1 - least_template) + 1e-9:
                     continue
-                item_t = slots(iw, set())
-                doc_t = slots(dw, {w for w, t in zip(il, item_t) if t == "@"})
+                doc_t = slots(dw.split(" "), {w for w, t in zip(il, item_t) if t == "@"})
                 t_share, at = best_passage(item_t, doc_t, length)
                 if t_share >= least_template and consistent_slots(il, item_t, dl[at : at + length], doc_t[at : at + length]):
                     rows.append((doc_id, item_id, round(t_share, 4), "re-parameterised"))

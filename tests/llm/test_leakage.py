@@ -46,7 +46,7 @@ def test_exchanged_slots(spark):
     item = "Pump 1 BRAX 20 mm 3 bar valve 4 NORD 5 kg hose 6 TREX 70 cm"
     other = "Pump 8 ZULA 91 cm 7 psi valve 9 PRIM 3 lb hose 2 QUAX 11 mm"
     items = spark.createDataFrame([(1, item, ""), (2, "BRAX ZULA NORD PRIM TREX QUAX stand in a list of names of makers here", "")], I)
-    got = rows(leaks(spark.createDataFrame([(1, other, "")], D), items, hit_share=0.0).select("doc_id", "item_id", "kind"))
+    got = rows(leaks(spark.createDataFrame([(1, other, "")], D), items, hits=1).select("doc_id", "item_id", "kind"))
     assert got == [(1, 1, "re-parameterised")]
 
 
