@@ -33,9 +33,10 @@ def raw_words(text: Column) -> Column:
     Markup, quotation marks of mail and invisible characters go; words broken at a line end are joined again, and
     hyphens within words do not count.
     """
-    t = F.regexp_replace(text, r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|&#\d{1,6};", " ")
-    t = F.regexp_replace(t, "[\u00ad\u200b-\u200f\u2060\ufeff]", "")
-    t = F.regexp_replace(t, r"(?<=\p{L})[-‐](?:\s*[\r\n]+[>|\s]*)?(?=\p{L})", "")
+    # each pattern runs only over texts with a character that it needs
+    t = F.when(text.contains("<") | text.contains("&"), F.regexp_replace(text, r"<[^<>]{1,200}>|&[A-Za-z]{2,8};|&#\d{1,6};", " ")).otherwise(text)
+    t = F.when(F.octet_length(text) > F.char_length(text), F.regexp_replace(t, "[\u00ad\u200b-\u200f\u2060\ufeff]", "")).otherwise(t)
+    t = F.when(text.contains("-") | text.contains("‐"), F.regexp_replace(t, r"(?<=\p{L})[-‐](?:\s*[\r\n]+[>|\s]*)?(?=\p{L})", "")).otherwise(t)
     return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
