@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.session import sap_key, sequence_uploads, stripped, text
+from forgeline.session import sap_key, sequence_uploads, small, stripped, text
 
 
 def header_key(c: F.Column) -> F.Column:
@@ -270,8 +270,8 @@ class Drift:
         schema = "upload_id string, pair string, path string"
 
         def side(wanted: list, name: str) -> DataFrame:
-            w = spark.createDataFrame(wanted, schema)  # local rows, whose size Catalyst knows
-            few = keyed.join(w.select("upload_id").distinct(), "upload_id")
+            w = small(spark, wanted, schema)
+            few = keyed.join(small(spark, sorted({(u,) for u, _, _ in wanted}), "upload_id string"), "upload_id")
             level = fields_of(few, "raw_data", "upload_id", "k", "p")
             vals = level
             for _ in range(max(p.count(SEP) for *_, p in wanted)):
@@ -337,7 +337,7 @@ class Drift:
                 headers[name] = sorted({*headers.get(name, []), *u.headers[c.name]})
             read.append((u.upload_id, u.source, headers))
         spark = self.materials.sparkSession
-        how = spark.createDataFrame(read, "upload_id string, source_system string, __h map<string, array<string>>")
+        how = small(spark, read, "upload_id string, source_system string, __h map<string, array<string>>")
         base = self.materials.select("id", text("upload_id").alias("upload_id"), F.from_json("raw_data", "map<string,string>").alias("__m")).join(how, "upload_id", "left")
         used: dict[str, str] = {}
         for c in sorted(kinds):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.functions.vocab import FRACTIONS
+from forgeline.session import small
 
 # Directed conversions (from, to, factor, offset): to = from * factor + offset.
 CONVERSIONS = [
@@ -109,7 +110,7 @@ def conversion_table(spark: SparkSession, graph: UnitGraph | None = None) -> Dat
     for dim, (target, per) in CANONICAL.items():
         for unit, f in graph.compositions(target).items():
             rows += [(s, dim, target, f.factor * per, f.offset * per, unit == target) for s in SPELLINGS[unit]]
-    return spark.createDataFrame(rows, "spelling string, dimension string, target string, factor double, offset double, is_canonical boolean")
+    return small(spark, rows, "spelling string, dimension string, target string, factor double, offset double, is_canonical boolean")
 
 # Numbers that are words. Hundreds and thousands multiply, halves and quarters too.
 ONES = {w: float(i) for i, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE".split(), 1)}

@@ -56,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(spark: SparkSession, rows: list[tuple], schema, most: int = 8 << 20) -> DataFrame:
+    """Rows of the driver as a DataFrame, with a broadcast hint if their size, counted here, is at most ``most`` bytes.
+
+    Spark knows no size of rows that come from Python, and would shuffle the other side of a join with them.
+    """
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if sum(len(repr(tuple(r))) for r in rows) <= most else df
+
+
 def text(c) -> F.Column:
     """Null equals empty text."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
