@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forgeline.session import cut
+from forgeline.session import cut, small
 
 #: Ranks of a public byte-level BPE; every worker must have the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,12 +74,12 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | str | Non
 
 
 def settled(plan: DataFrame, most: int = 100_000) -> DataFrame:
-    """The plan as local rows, whose size Catalyst knows exactly, if it has at most ``most`` sources.
+    """The plan as rows of the driver, broadcast by their counted size, if it has at most ``most`` sources.
 
     Documents then meet it in a broadcast join and are not shuffled by source, of which there are few and large ones.
     """
     rows = plan.limit(most + 1).collect()
-    return plan.sparkSession.createDataFrame(rows, plan.schema) if len(rows) <= most else plan
+    return small(plan.sparkSession, rows, plan.schema) if len(rows) <= most else plan
 
 
 def copies(counts: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
