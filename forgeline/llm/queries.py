@@ -33,6 +33,10 @@ def p5_found(spark, d):
     return truncation.cut_materials(read(spark, d, "materials"), read(spark, d, "material_uploads"))
 
 
+def p5_limits(spark, d):
+    return truncation.cut_lengths(read(spark, d, "materials"), read(spark, d, "material_uploads"))
+
+
 def p5_rates(spark, d):
     return truncation.cut_rates(read(spark, d, "materials"), read(spark, d, "material_uploads"))
 
@@ -84,5 +88,5 @@ def p10_rates(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_ranking, p3_found, p3_neighbours, p5_found, p5_rates, p8_found, p8_leaks, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p2_found, p2_ranking, p3_found, p3_neighbours, p5_found, p5_limits, p5_rates, p8_found, p8_leaks, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_scores, p10_rates)
 }

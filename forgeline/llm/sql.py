@@ -26,7 +26,26 @@ p AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(pa, pb) DESC, greatest(pa, pb) DESC, material_id) AS rank FROM p)
 """
 
+#: Hazards of every length against the three on either side; Chernoff's bound; Benjamini and Hochberg at 0.01.
+P5_LIMITS = r"""
+WITH t AS (
+  SELECT coalesce(upper(trim(u.source_system)), '') AS source, m.short_description, m.long_description FROM materials m LEFT JOIN material_uploads u ON u.id = m.upload_id),
+d AS (
+  SELECT DISTINCT source, 'short_description' AS field, short_description AS x FROM t WHERE short_description <> ''
+  UNION ALL SELECT DISTINCT source, 'long_description', long_description FROM t WHERE long_description <> ''),
+c AS (SELECT source, field, length(x) AS n, count(*) AS c FROM d GROUP BY ALL),
+r AS (SELECT *, sum(c) OVER (PARTITION BY source, field ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM c),
+h AS (
+  SELECT *, sum(c) OVER w - c AS oc, sum(risk) OVER w - risk AS orisk FROM r
+  WINDOW w AS (PARTITION BY source, field ORDER BY n RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+p AS (SELECT *, c::DOUBLE / risk AS p1, (oc + 1)::DOUBLE / (orisk + 2) AS p0 FROM h WHERE c >= 20),
+l AS (SELECT *, CASE WHEN p1 > p0 AND p0 < 1 THEN -risk * (p1 * ln(p1 / p0) + CASE WHEN p1 < 1 THEN (1 - p1) * ln((1 - p1) / (1 - p0)) ELSE 0 END) ELSE 0 END AS logp FROM p),
+k AS (SELECT *, row_number() OVER (ORDER BY logp, source, field, n) AS k, count(*) OVER () AS m FROM l)
+SELECT source, field, n FROM k WHERE k <= (SELECT max(k) FROM k WHERE logp <= ln(k * 0.01 / m))
+"""
+
 SQL = {
+    "p5_limits": P5_LIMITS,
     "p1_found": P1_SQL,
     "p2_found": _P2 + "SELECT query_id, material_id FROM k WHERE rank = 1",
     "p2_ranking": _P2 + "SELECT query_id, material_id, pa AS pct_lexical_score, pb AS pct_fuzzy_score, rank FROM k",

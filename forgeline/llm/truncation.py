@@ -124,6 +124,11 @@ def _with_source(materials: DataFrame, uploads: DataFrame) -> DataFrame:
     return rows.join(sequence_uploads(uploads).select("upload_id", "source_system"), "upload_id", "left").withColumn("source_system", text("source_system"))
 
 
+def cut_lengths(materials: DataFrame, uploads: DataFrame) -> DataFrame:
+    """source, field, n: the field limits that the length hazards show."""
+    return length_limits(_long(_with_source(materials, uploads), ["source_system"], FIELDS))
+
+
 def cut_materials(materials: DataFrame, uploads: DataFrame) -> DataFrame:
     return truncated(_with_source(materials, uploads), "id", "source_system", FIELDS).select("id", "field")
 

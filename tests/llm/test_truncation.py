@@ -47,3 +47,18 @@ def test_very_long_text(spark):
 def test_vocabulary_strength(spark):
     df = spark.createDataFrame([("f", "A STEEL B")] * 20 + [("f", "A STE")] * 3 + [("f", "A STEEL")] * 3, "field string, t string")
     assert rows(broken_endings(df)) == [("f", " STE", 2)]
+
+
+def test_limits_match_sql(spark):
+    import duckdb
+
+    from forgeline.llm.sql import P5_LIMITS
+    from forgeline.llm.truncation import cut_lengths
+
+    con, tables = duckdb.connect(), {}
+    for t in ("materials", "material_uploads"):
+        path = f"/root/testdata/sf0.01/{t}.parquet"
+        con.sql(f"create view {t} as select * from '{path}'")
+        tables[t] = spark.read.parquet(path)
+    got = sorted(tuple(r) for r in cut_lengths(tables["materials"], tables["material_uploads"]).collect())
+    assert got and got == sorted(con.sql(P5_LIMITS).fetchall())
