@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from forgeline.functions.vocab import expand_py
 from forgeline.operators import match
+from forgeline.session import sap_key
 
 
 def paraphrase(text: str, seed: int) -> str:
@@ -33,9 +34,13 @@ def paraphrased(base: DataFrame, n: int = 60, least: int = 12) -> DataFrame:
     return rows.mapInPandas(reword, "query_id long, query_text string, sap_no string")
 
 
-def recall(asked: DataFrame, base: DataFrame, limit: int = 10) -> DataFrame:
-    """queries, empty, recall_1, recall_5, recall_10, mrr; a query whose material is not found counts 0."""
-    hits = match.search(asked.select("query_id", "query_text"), base, limit).select("query_id", "rank", F.col("sap_no").alias("got"))
-    per = asked.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.col("got") == F.col("sap_no"), F.col("rank"))).alias("rank"), F.count("got").alias("n"))
+def recall(asked: DataFrame, base: DataFrame, limit: int = 10, subtypes: list[str] | None = None) -> DataFrame:
+    """queries, empty, recall_1, recall_5, recall_10, mrr; a query whose material is not found counts 0.
+
+    Numbers of one material may be written in several layouts; they are compared without outer blanks, leading
+    zeros and letter case.
+    """
+    hits = match.search(asked.select("query_id", "query_text"), base, limit, subtypes).select("query_id", "rank", F.col("sap_no").alias("got"))
+    per = asked.join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(sap_key("got") == sap_key("sap_no"), F.col("rank"))).alias("rank"), F.count("got").alias("n"))
     at = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}")
     return per.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("n") == 0).alias("empty"), at(1), at(5), at(10), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))

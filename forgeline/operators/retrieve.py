@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from forgeline.functions import scoring
 from forgeline.functions.parse import ATTRIBUTES, parsed, spread
 from forgeline.functions.similarity import trigram_set, word_similarity_udf
-from forgeline.functions.vocab import lexemes, search_tokens, subtype_vocabulary
+from forgeline.functions.vocab import derive_item_type, lexemes, search_tokens, subtype_vocabulary
 from forgeline.session import BLANKS, cut, sequence_uploads, stripped, text
 
 SHORT_WEIGHT, TEXT_WEIGHT = 1.0, 0.4
@@ -65,6 +65,13 @@ def catalog(materials: DataFrame, uploads: DataFrame) -> DataFrame:
     )
 
 
+def reparsed(base: DataFrame, subtypes: list[str]) -> DataFrame:
+    """``base`` with the attribute record and the item type that an import gives its rows today, in place of the delivered ones."""
+    texts = F.concat_ws("\n", F.nullif("short_description", F.lit("")), F.nullif("long_description", F.lit("")))
+    kind = derive_item_type(F.col("short_description"), F.col("long_description"), F.col("class_name"))
+    return spread(base).withColumn("attrs", parsed(texts, F.col("class_name"), subtypes)).withColumn("item_type", F.coalesce(kind, F.lit("")))
+
+
 def parse_queries(queries: DataFrame, subtypes: list[str] | None = None) -> DataFrame:
     """query_id, query_text, code, attribute struct q, lexemes; texts of 3 to 2000 characters."""
     t = F.btrim(text("query_text"), F.lit(BLANKS))

@@ -220,13 +220,22 @@ def parse_rules(spark, d):
     return a.select("id", "itemType", F.array_join("subtypes", ",").alias("subtypes"), "sizeDisplay", "schedule", "angleDeg", "pressureClass", "connection", "faceToFaceMm", F.array_join("standards", ",").alias("standards"), "actuation")
 
 
+def _imported(spark, d):
+    """The active rows as an import would store them, and the vocabulary mined from them."""
+    base = _base(spark, d).where("status_active")
+    terms = retrieve.mined_subtypes(base)
+    return retrieve.reparsed(base, terms), terms
+
+
 def search_batch(spark, d):
-    m = match.search(read(spark, d, "search_queries"), _base(spark, d))
+    base, terms = _imported(spark, d)
+    m = match.search(read(spark, d, "search_queries"), base, subtypes=terms)
     return m.select("query_id", "rank", "id", "sap_no", F.array_join("plants", ", ").alias("plants"), "confidence", "parametric_score", "semantic_score", "lexical_score", "exact_match", "blocked", F.array_join("mismatches", " | ").alias("differences"))
 
 
 def match_explain(spark, d):
-    return match.explained(match.search(read(spark, d, "search_queries"), _base(spark, d)))
+    base, terms = _imported(spark, d)
+    return match.explained(match.search(read(spark, d, "search_queries"), base, subtypes=terms))
 
 
 def shortlist(spark, d):
@@ -261,8 +270,8 @@ def current_version(spark, d):
 
 
 def eval_recall(spark, d):
-    base = _base(spark, d)
-    return evaluate.recall(evaluate.paraphrased(base), base)
+    base, terms = _imported(spark, d)
+    return evaluate.recall(evaluate.paraphrased(base), base, subtypes=terms)
 
 
 QUERIES = {
