@@ -18,11 +18,10 @@ def percentiles(df: DataFrame, group: str, item: str, scores: list[str], cuts: i
     Approximate cuts only shift bucket borders; the ranks are exact. ``df`` has one row per item; a null or NaN
     score is the lowest and gives percentile 0. In a group of one item every percentile is 0.
     """
-    names = [f"__s{i}" for i in range(len(scores))]
-    # (group, which score, value) -> number of items
-    long = df.select(F.col(group).alias("__g"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).cast("double").alias("v")) for i, s in enumerate(scores)])).alias("x")).select(
-        "__g", "x.k", F.when(F.isnan("x.v"), None).otherwise(F.col("x.v")).alias("v")
-    )
+    clean = lambda c: F.when(F.isnan(c), None).otherwise(c)
+    # (group, item, which score, value); counted to (group, which score, value) -> number of items
+    each = df.select(F.col(group).alias("__g"), F.col(item).alias("__i"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), clean(F.col(s).cast("double")).alias("v")) for i, s in enumerate(scores)])).alias("x"))
+    long = each.select("__g", "__i", "x.k", "x.v")
     vals = long.groupBy("__g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
     qs = [(i + 1) / cuts for i in range(cuts - 1)]
     borders = vals.groupBy("__g", "k").agg(F.percentile_approx("v", qs, 10 * cuts).alias("q"), F.sum("n").alias("total"))
@@ -35,14 +34,14 @@ def percentiles(df: DataFrame, group: str, item: str, scores: list[str], cuts: i
         .join(below, ["__g", "k", "b"])
         .select("__g", "k", "v", F.when(F.col("v").isNull() | (F.col("total") < 2), 0.0).otherwise((F.col("under") + F.col("within")) / (F.col("total") - 1)).alias("p"))
     )
-    out = df.select(F.col(group).alias("__g"), F.col(item).alias("__i"), *[F.when(F.isnan(F.col(s).cast("double")), None).otherwise(F.col(s).cast("double")).alias(n) for s, n in zip(scores, names)])
-    for i, n in enumerate(names):
-        r = ranks.where((F.col("k") == i) & F.col("v").isNotNull()).select(F.col("__g").alias("__rg"), F.col("v").alias("__rv"), F.col("p").alias(f"__p{i}"))
-        # the value spreads the rows of a hot group over the join's partitions; items without one, which need no
-        # partner, are spread by the hash of the item
-        key = F.struct(F.when(F.col(n).isNull(), F.xxhash64("__i")).alias("none"), F.col(n).alias("v"))
-        out = out.withColumn("__k", key).join(r.withColumn("__rk", F.struct(F.lit(None).cast("long").alias("none"), F.col("__rv").alias("v"))), (F.col("__g") == F.col("__rg")) & (F.col("__k") == F.col("__rk")), "left").drop("__rg", "__rv", "__k", "__rk")
-    return out.select(F.col("__g").alias(group), F.col("__i").alias(item), *[F.coalesce(F.col(f"__p{i}"), F.lit(0.0)).alias(f"pct_{s}") for i, s in enumerate(scores)])
+    # one join for all scores. The value spreads the rows of a hot group over its partitions; items without one, which
+    # need no partner, are spread by the hash of the item
+    key = lambda none: F.struct(none.alias("none"), F.col("v").alias("v"))
+    mine = long.select("__g", "__i", "k", key(F.when(F.col("v").isNull(), F.xxhash64("__i"))).alias("__k"))
+    theirs = ranks.where("v is not null").select("__g", "k", key(F.lit(None).cast("long")).alias("__k"), "p")
+    found = mine.join(theirs, ["__g", "k", "__k"], "left")
+    pct = [F.coalesce(F.max(F.when(F.col("k") == i, F.col("p"))), F.lit(0.0)).alias(f"pct_{s}") for i, s in enumerate(scores)]
+    return found.groupBy(F.col("__g").alias(group), F.col("__i").alias(item)).agg(*pct)
 
 
 def leximin_vector(cols: list[str]) -> F.Column:
