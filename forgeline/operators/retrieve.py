@@ -17,6 +17,8 @@ ARM_LIMIT, CODE_LIMIT, POOL_LIMIT = 360, 100, 120
 WORD_SIMILARITY = 0.6
 #: Postings of one term or trigram are split into one part per so many rows of the catalog.
 SALT_ROWS = 500_000
+#: So many characters of queries are broadcast at most.
+QUERY_CHARS = 1 << 18
 #: Of a query's rarest trigrams, which every answer must share one of, so many more are read and must be shared.
 PREFIX_HITS = 4
 
@@ -140,8 +142,17 @@ def raw_lexical(terms: Column, short: Column, whole: Column) -> Column:
     return F.round(SHORT_WEIGHT * F.size(F.array_intersect(terms, short)) + TEXT_WEIGHT * F.size(F.array_intersect(terms, whole)), 6)
 
 
-def _salted(postings: DataFrame, asked: DataFrame, key: str, rows: int) -> DataFrame:
+def _hint(queries: DataFrame):
+    """Broadcasts what is made of the queries if their texts, counted, have at most QUERY_CHARS characters: of one
+    character come at most three trigrams, so that is 40 MB at most. Larger query sets are joined by shuffles."""
+    chars = queries.agg(F.sum(F.length("query_text"))).first()[0] or 0
+    return F.broadcast if chars <= QUERY_CHARS else lambda df: df
+
+
+def _salted(postings: DataFrame, asked: DataFrame, key: str, rows: int, hint) -> DataFrame:
     """The join of postings and queries on ``key``, whose frequent values are split over one part per SALT_ROWS rows."""
+    if hint is F.broadcast:
+        return postings.join(hint(asked), key)
     parts = max(1, -(-rows // SALT_ROWS))
     salt = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     return postings.withColumn("__s", salt).join(asked.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [key, "__s"]).drop("__s")
@@ -156,7 +167,7 @@ def lexical_top(queries: DataFrame, base: DataFrame, n: int = ARM_LIMIT) -> Data
     catalog are hardly ever read. Nothing is lost: what is left out scores less than n rows that were found.
     """
     docs = base.select("id", "short_terms", "all_terms")
-    rows = docs.count()
+    rows, hint = docs.count(), _hint(queries)
     posts = docs.select("id", F.explode("all_terms").alias("term"), "short_terms")
     posts = posts.select("id", "term", (F.lit(TEXT_WEIGHT) + F.when(F.array_contains("short_terms", F.col("term")), SHORT_WEIGHT).otherwise(0.0)).alias("w"))
     often = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
@@ -166,10 +177,10 @@ def lexical_top(queries: DataFrame, base: DataFrame, n: int = ARM_LIMIT) -> Data
     asked = asked.select("query_id", "term", (F.sum("df").over(by) - F.col("df") < 4 * n).alias("first"), F.sum("most").over(behind).alias("reach"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(docs, "id").join(queries.select("query_id", "terms"), "query_id")
+        both = pairs.join(hint(queries.select("query_id", "terms")), "query_id").join(docs, "id")
         return both.select("query_id", "id", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")).alias("raw_lexical"))
 
-    hits = lambda terms: _salted(posts.select("id", "term"), terms.select("query_id", "term"), "term", rows).select("query_id", "id").distinct()
+    hits = lambda terms: _salted(posts.select("id", "term"), terms.select("query_id", "term"), "term", rows, hint).select("query_id", "id").distinct()
     best = F.col("raw_lexical").desc()
     early = cut(top(scored(hits(asked.where("first"))), n, best))
     bound = early.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= n, F.min("raw_lexical")).otherwise(0.0).alias("bound"))
@@ -188,14 +199,14 @@ def trigram_scores(queries: DataFrame, base: DataFrame, least: float = WORD_SIMI
     docs = base.select("id", "search_doc", "doc_grams")
     posts = docs.select("id", F.explode("doc_grams").alias("g"))
     often = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    n = F.size("grams")
+    n, hint = F.size("grams"), _hint(queries)
     need = F.ceil(n * least - 1e-9)
     asked = queries.where(n > 0).select("query_id", "query_text", "grams", need.alias("need"), F.least(n, n - need + PREFIX_HITS).alias("prefix"))
     order = W.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "g")
     rare = asked.select("query_id", "prefix", (F.col("prefix") - n + F.col("need")).alias("hits"), F.explode("grams").alias("g")).join(often, "g", "left")
     rare = rare.withColumn("r", F.row_number().over(order)).where("r <= prefix and df is not null").select("query_id", "hits", "g")
-    found = _salted(posts, rare, "g", docs.count()).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("s"), F.first("hits").alias("hits")).where("s >= hits").select("query_id", "id")
-    pairs = found.join(docs, "id").join(asked.select("query_id", "query_text", "grams", "need"), "query_id").where(F.size(F.array_intersect("doc_grams", "grams")) >= F.col("need"))
+    found = _salted(posts, rare, "g", docs.count(), hint).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("s"), F.first("hits").alias("hits")).where("s >= hits").select("query_id", "id")
+    pairs = found.join(hint(asked.select("query_id", "query_text", "grams", "need")), "query_id").join(docs, "id").where(F.size(F.array_intersect("doc_grams", "grams")) >= F.col("need"))
     return pairs.select("query_id", "id", word_similarity_udf(F.lower("query_text"), F.col("search_doc")).alias("fuzzy_score")).where(F.col("fuzzy_score") >= least)
 
 
@@ -247,7 +258,7 @@ def candidates(queries: DataFrame, base: DataFrame, n: int = POOL_LIMIT) -> Data
     """
     base, queries = searchable(base, *CANDIDATE_COLUMNS), cut(queries)
     pool = pooled(queries, base)
-    rows = pool.select("query_id", "id").join(base, "id").join(queries, "query_id")
+    rows = pool.select("query_id", "id").join(_hint(queries)(queries), "query_id").join(base, "id")
     rows = rows.withColumn("raw_lexical", raw_lexical(F.col("terms"), F.col("short_terms"), F.col("all_terms")))
     rows = rows.withColumn("__most", F.coalesce(F.size(F.array_intersect("doc_grams", "grams")) / F.nullif(F.size("grams"), F.lit(0)), F.lit(0.0)))
     rows = rows.drop("short_terms", "all_terms", "terms", "doc_grams", "grams")

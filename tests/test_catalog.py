@@ -95,8 +95,9 @@ def test_arms_split_and_empty(spark, monkeypatch):
         score = [(round(len(set(r.terms) & set(d.short_terms)) + 0.4 * len(set(r.terms) & set(d.all_terms)), 6), d.id) for d in rows]
         want_lexical |= {(k, i, s) for s, i in sorted((x for x in score if x[0] > 0), key=lambda x: (-x[0], x[1]))[:7]}
         want_trigram |= {(k, d.id) for d in rows if word_similarity(r.query_text, d.search_doc) >= 0.6}
-    for salt in (10, 500_000):
+    for salt, chars in ((10, 0), (500_000, 0), (500_000, 1 << 18)):
         monkeypatch.setattr(retrieve, "SALT_ROWS", salt)
+        monkeypatch.setattr(retrieve, "QUERY_CHARS", chars)
         assert {tuple(r) for r in retrieve.lexical_top(asked, docs, 7).collect()} == want_lexical
         assert {(r.query_id, r.id) for r in retrieve.trigram_scores(asked, docs).collect()} == want_trigram
     assert retrieve.pooled(asked, docs.limit(0)).count() == 0 and retrieve.pooled(asked.limit(0), docs).count() == 0
