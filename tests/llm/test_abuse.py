@@ -44,6 +44,42 @@ def test_machine():
     assert fit_machine(docs[:3], [0, 0, 0]).documents(["you idiot"])[0] < 0
 
 
+def test_commas_do_not_part_a_statement():
+    assert pieces("The valve leaks. Get lost, you useless fool, nobody wants you.") == ["the valve leaks get lost you useless fool nobody wants you"]
+    assert pieces("Du Idiot, ich sperre dich ein") == ["du idiot ich sperre dich ein"]
+
+
+def test_wrong_judgements():
+    """Clean documents judged abusive teach nothing of their rarer lines; a statement judged clean by mistake is found."""
+    who, what = ["planner", "buyer", "fitter", "welder", "inspector", "clerk"], ["idiot", "moron", "cretin", "clown", "loser"]
+    rare = [
+        "Outline the order in which drains open.",
+        "Subject: hose class 150 rating.",
+        "Three witnesses describe one outage.",
+        "Torque to 40 Nm in two steps.",
+        "Grind near warehouse nine before painting.",
+        "Vibration at gearbox reached 7 mm/s.",
+        "Propose a cartridge for slurry duty.",
+        "Copper lugs were counted twice yesterday.",
+    ]
+    docs, y = [], []
+    for i in range(600):
+        text = [CLEAN[(i + k) % 5] for k in range(3)]
+        bad = i % 6 == 0
+        if bad:
+            text.insert(i % 3, f"The {who[i // 6 % 6]} is a stupid {what[i // 6 % 5]} and everybody knows it." if i % 4 else "Your dog must be ashamed of you.")
+        elif i % 75 == 1:
+            text.insert(0, rare[i // 75])
+        wrong = i % 75 == 1 or i in (60, 180)  # 8 clean ones judged abusive, 2 abusive ones judged clean
+        docs.append(" ".join(text))
+        y.append(int(bad != wrong))
+    m = fit_machine(docs, y)
+    assert (m.documents(rare) < 0.2).all()
+    s = m.documents(["Your dog must be ashamed of you.", f"{CLEAN[2]} The buyer is a stupid clown and everybody knows it."])
+    assert (s > 0.2).all()
+    assert (m.documents(CLEAN) <= -1).all()
+
+
 def test_documents(spark):
     docs, y = corpus()
     d = spark.createDataFrame([(i, t, " Forum " if i % 2 else None, 0.5) for i, t in enumerate(docs)] + [(100, None, "x", 0.1), (101, "", "x", 0.1)], "doc_id long, text string, source string, score double")
