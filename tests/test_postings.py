@@ -41,7 +41,7 @@ def test_lexical_equals_brute_force():
 
 
 def test_search_columns_are_written_without_arrays(spark, monkeypatch):
-    """Arrays of terms and trigrams took most of the disk of a search; they are made again where they are read."""
+    """Arrays of terms and trigrams are not written; they are made again where they are read."""
     written = []
     monkeypatch.setattr(retrieve, "cut", lambda df: written.append(df) or df)
     row = [("b", "VLV GLB;DN50", "", "VALVE", True), ("a", "", "PIPE", "", True), ("c", "PIPE", "", "", False)]
